@@ -7,12 +7,13 @@ Method
    minima) and one key per band of ``rows`` full minima.
 2. Documents with the same set are one class; its smallest doc_id stands for it.
    Only representatives go on, so thousands of copies cost one row.
-3. Candidates: in each band bucket every member is paired with the bucket's
-   smallest and largest representative (never all pairs).  Pairs whose
-   collision-corrected similarity, estimated by counting equal b-bit cells with
-   bit operations, is far below the threshold go; the others are confirmed on
-   the full shingle sets of their texts.
-4. Confirmed links are closed to components by minimum-label propagation.
+3. Candidates: in each band bucket every member is paired with four members of
+   the bucket, chosen by hash (never all pairs).  Pairs whose collision-corrected
+   similarity, estimated by counting equal b-bit cells with bit operations, is far
+   below the threshold go; of the others each member's two most similar ones are
+   confirmed on the full shingle sets of their texts.
+4. Confirmed links are closed to components by minimum-label propagation, and
+   step 3 is repeated between the components that remain, with other members.
 5. Buckets that still hold members of different components are searched in full
    for pairs across components, the estimate being part of the join condition
    and size classes part of its key, and confirmed as before.  Pairs inside one
@@ -45,7 +46,7 @@ from watchloom.llm.textops import WordHashes, hash_functions, pieces, saved, shi
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary, bands array<long>"
 
 
-def signature_batches(k: int, rows: int, bits: int, shingle: int, seed: int):
+def signature_batches(k: int, bands_: int, rows: int, bits: int, shingle: int, seed: int):
     """A mapInArrow function (doc_id, text) -> SIGNATURE_SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +73,8 @@ def signature_batches(k: int, rows: int, bits: int, shingle: int, seed: int):
                 if len(full):
                     low = (minima & np.uint32((1 << bits) - 1)).astype(np.uint8)
                     packed = np.packbits(((low[:, :, None] >> np.arange(bits, dtype=np.uint8)) & 1).transpose(0, 2, 1).reshape(len(full), -1), axis=1)
-                    keys = (minima.reshape(len(full), k // rows, rows).astype(np.uint64) * band_mul).sum(axis=2)
-                    keys = ((keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(k // rows, dtype=np.uint64)).view(np.int64)
+                    keys = (minima[:, : bands_ * rows].reshape(len(full), bands_, rows).astype(np.uint64) * band_mul).sum(axis=2)
+                    keys = ((keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands_, dtype=np.uint64)).view(np.int64)
                     for i, d in enumerate(full):
                         sig[d], bands[d] = packed[i].tobytes(), keys[i]
                         x = xxhash.xxh3_128_intdigest(sets[d].tobytes())
@@ -86,9 +87,9 @@ def signature_batches(k: int, rows: int, bits: int, shingle: int, seed: int):
     return run
 
 
-def signatures(docs: DataFrame, k: int = 128, rows: int = 4, bits: int = 4, shingle: int = 4, seed: int = 7) -> DataFrame:
+def signatures(docs: DataFrame, k: int = 256, bands: int = 32, rows: int = 4, bits: int = 4, shingle: int = 4, seed: int = 7) -> DataFrame:
     """One row per document: set size and identity, packed b-bit signature, band keys.  No shuffle."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signature_batches(k, rows, bits, shingle, seed), SIGNATURE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(signature_batches(k, bands, rows, bits, shingle, seed), SIGNATURE_SCHEMA)
 
 
 def unpacked(df: DataFrame, k: int, bits: int) -> DataFrame:
@@ -138,11 +139,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm_batches(shingle, percent), "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable, by minimum-label propagation with pointer jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp) of every node with an edge: the smallest id reachable, by minimum-label propagation with pointer jumping.
 
-    nodes has a column id, edges a and b.  Only nodes with an edge take part in
-    the rounds; each round's labels are written to the checkpoint folder.
+    Each round's labels are written to the checkpoint folder.
     """
     e = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp"))
@@ -153,49 +153,68 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         new = saved(step.join(jump, "comp", "left").select("id", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
         if new.where("comp <> was").isEmpty():
-            break
+            return new.select("id", "comp")
         label = new.select("id", "comp")
-    return nodes.join(new.select("id", "comp"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = 128, rows: int = 4, bits: int = 4, slack: float = 0.2, seed: int = 7) -> DataFrame:
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp(id, comp) after its components are joined by links(a, b) between ids."""
+    of = lambda x: comp.select(F.col("id").alias(x), F.col("comp").alias(f"x{x}"))
+    roots = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct())
+    return saved(comp.join(roots.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = 256, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.13, rounds: int = 4, seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     percent: the least similarity; slack: how far below it an estimate may lie
-    for its pair to be confirmed exactly (five standard deviations at k=128).
+    for its pair to be confirmed exactly (five standard deviations at k=256).
     """
     least = percent / 100 - slack
-    sig = saved(signatures(docs, k, rows, bits, shingle, seed))
+    sig = saved(signatures(docs, k, bands, rows, bits, shingle, seed))
     full = sig.where("n_shingles > 0 and doc_id is not null")
     rep = full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     # one signature row for each class: that of its smallest doc_id
     member = sig.join(rep, ["set_hi", "set_lo"], "left")
     nodes = saved(unpacked(member.where("doc_id = rep").dropDuplicates(["set_hi", "set_lo"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), k, bits))
     keys = nodes.select("id", F.explode("bands").alias("band"))
-    bucket = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = saved(keys.join(bucket, "band"))  # members of buckets with more than one class
-    star = shared.select("id", F.col("low").alias("hub")).union(shared.select("id", F.col("high").alias("hub"))).where("id <> hub")
-    star = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    cells = nodes.select("id", "cells", "n_shingles")
+    bucket = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band")
+    shared = saved(keys.join(bucket, "band").distinct())  # members of buckets with more than one class
+    met = shared.select("id").distinct()
+    cells = saved(nodes.join(met, "id", "left_semi").select("id", "cells", "n_shingles"))
     side = lambda x: cells.select(F.col("id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"))
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    likely = star.join(side("a"), "a").join(side("b"), "b").where(sized).where(similar_cells("ca", "cb", k, bits) >= least).select("a", "b")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    links = saved(confirmed(likely, texts, shingle, percent).distinct())
-    comp = saved(components(nodes.select("id"), links))
-    # what the stars did not join: pairs across components of one bucket
-    here = shared.select("id", "band").join(comp, "id")
+    comp = saved(met.select("id", F.col("id").alias("comp")))
+    for turn in range(rounds):
+        # members against four members of their bucket, other ones each turn, if of another component
+        here = shared.join(comp, "id")
+        order = [F.struct(F.xxhash64(F.lit(f"{turn}{i}"), "comp", "id").alias("h"), F.col("id").alias("hub"), F.col("comp").alias("x")) for i in range(2)]
+        hubs = here.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *(f(o).alias(f"h{i}{j}") for i, o in enumerate(order) for j, f in enumerate((F.min, F.max)))).where("c0 < c1")
+        pairs = here.join(hubs, "band").select(F.col("id").alias("a"), "comp", F.explode(F.array_distinct(F.array("h00", "h01", "h10", "h11"))).alias("h")).where("comp <> h.x").select("a", F.col("h.hub").alias("b")).distinct()
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("s", similar_cells("ca", "cb", k, bits)).where(F.col("s") >= least)
+        # each member's most similar one, among those of even and of odd hash
+        odd = F.pmod(F.xxhash64("b"), F.lit(2)) == 1
+        best = likely.groupBy("a").agg(F.max_by("b", F.when(odd, F.struct("s", "b"))).alias("b0"), F.max_by("b", F.when(~odd, F.struct("s", "b"))).alias("b1"))
+        best = best.select("a", F.explode(F.array("b0", "b1")).alias("b")).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = saved(confirmed(best, texts, shingle, percent).distinct())
+        if links.isEmpty():
+            break
+        comp = merged(comp, links)
+    # what the turns did not join: all pairs across components of one bucket
+    here = shared.join(comp, "id")
     open_ = here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
     rest = saved(here.join(open_, "band").join(cells, "id").withColumn("size", F.floor(F.log(F.col("n_shingles").cast("double")) / np.log(100 / percent) + 1e-9)))
     left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("xa"), F.col("cells").alias("ca"), F.col("n_shingles").alias("na"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
     right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("xb"), F.col("cells").alias("cb"), F.col("n_shingles").alias("nb"), "size")
     across = (F.col("xa") != F.col("xb")) & F.expr(sized) & (similar_cells("ca", "cb", k, bits) >= least)
-    more = left.join(right, ["band", "size"]).where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    more = left.join(right, ["band", "size"]).where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     extra = saved(confirmed(more, texts, shingle, percent).distinct())
     if not extra.isEmpty():
-        comp = saved(components(nodes.select("id"), links.union(extra)))
+        comp = merged(comp, extra)
     out = member.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept"))
+    root = F.coalesce("comp", "rep", "doc_id")
+    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -103,9 +104,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: survives lost executors, cuts lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared checkpoint folder and read from there.
+
+    Survives lost executors and cuts lineage.  Unlike checkpoint(), whose result
+    keeps the plan's estimated sizes (they multiply over the joins of a loop), the
+    written table has its real size.  The tables stay in a folder of the
+    application's own, to be cleared with it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/watchloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def id_remainder(col: str, m: int) -> Column:
