@@ -106,8 +106,7 @@ def evaluate_baseline(model: DataFrame, samples: DataFrame) -> DataFrame:
 def failure_then_success(df: DataFrame, n: int, lookback: str, size: str) -> DataFrame:
     """The first success of each (entity, window) with n failures in the lookback before it, in (ts, id) order."""
     seconds = F.col("ts").cast("timestamp").cast("double")
-    span = df.sparkSession.sql(f"select cast(extract(epoch from timestamp'1970-01-01' + interval {lookback}) as double)").first()[0] if False else _seconds(lookback)
-    w = Window.partitionBy("entity_id").orderBy(seconds).rangeBetween(-span, 0)
+    w = Window.partitionBy("entity_id").orderBy(seconds).rangeBetween(-_seconds(lookback), 0)
     bad = F.collect_list(F.when(F.col("outcome") == "failure", F.struct("ts", "event_id"))).over(w)
     x = df.where(F.col("outcome").isin("failure", "success")).withColumn("_bad", bad).where("outcome = 'success'")
     x = x.withColumn("_bad", F.filter("_bad", lambda f: (f["ts"] < F.col("ts")) | ((f["ts"] == F.col("ts")) & (f["event_id"] < F.col("event_id"))))).where(F.size("_bad") >= n)
