@@ -179,12 +179,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     nodes = saved(unpacked(member.where("doc_id = rep").dropDuplicates(["set_hi", "set_lo"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), k, bits))
     keys = nodes.select("id", F.explode("bands").alias("band"))
     bucket = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band")
-    shared = saved(keys.join(bucket, "band").distinct())  # members of buckets with more than one class
+    shared = saved(keys.join(bucket, "band"))  # members of buckets with more than one class
     met = shared.select("id").distinct()
-    cells = saved(nodes.join(met, "id", "left_semi").select("id", "cells", "n_shingles"))
+    cells = saved(nodes.join(met, "id", "left_semi").select("id", "cells", "n_shingles", "bands"))
     side = lambda x: cells.select(F.col("id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"))
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # the texts that may have to be compared, shuffled once and not in every turn
+    texts = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(met.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     comp = saved(met.select("id", F.col("id").alias("comp")))
     for turn in range(rounds):
         # members against four members of their bucket, other ones each turn, if of another component
@@ -205,9 +206,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     here = shared.join(comp, "id")
     open_ = here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
     rest = saved(here.join(open_, "band").join(cells, "id").withColumn("size", F.floor(F.log(F.col("n_shingles").cast("double")) / np.log(100 / percent) + 1e-9)))
-    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("xa"), F.col("cells").alias("ca"), F.col("n_shingles").alias("na"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("xb"), F.col("cells").alias("cb"), F.col("n_shingles").alias("nb"), "size")
+    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("xa"), F.col("cells").alias("ca"), F.col("n_shingles").alias("na"), F.col("bands").alias("ba"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
+    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("xb"), F.col("cells").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"), "size")
     across = (F.col("xa") != F.col("xb")) & F.expr(sized) & (similar_cells("ca", "cb", k, bits) >= least)
+    # a pair is taken from the first of the bands that it shares
+    across = across & (F.col("band") == F.array_min(F.array_intersect("ba", "bb")))
     more = left.join(right, ["band", "size"]).where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     extra = saved(confirmed(more, texts, shingle, percent).distinct())
     if not extra.isEmpty():

@@ -37,29 +37,62 @@ from pyspark.sql import functions as F
 from watchloom.llm.textops import pieces, saved
 
 #: Words a worker remembers the ids of.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def plain_parts(word: str) -> int:
+    """In how many parts the tokenizer splits a word, if that is plain: letters of the Latin blocks, perhaps a stop or comma; else 0."""
+    if word.isascii():
+        if word.isalpha():
+            return 1
+        return 2 if word[-1:] in ".," and word[:-1].isalpha() else 0
+    stem = word[:-1] if word[-1] in ".," else word
+    return (1 if stem is word else 2) if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem else 0
+
+
 def word_ids(path: str):
-    """text -> token ids.  Tokens never span white space, so words between blanks and line ends are encoded once and remembered."""
+    """text -> token ids.  Tokens never span white space, so words between blanks and line ends are encoded once and remembered.
+
+    New plain words are encoded together as one text and told apart by the tokens
+    that end a part; others one by one.
+    """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    vocabulary = tok.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
     known: dict[str, list[int]] = {"": []}
 
+    def learn(words: list[str]) -> None:
+        parts = [plain_parts(w) for w in words]
+        plain = [w for w, n in zip(words, parts, strict=True) if n]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            last = np.flatnonzero(ends[ids])[np.cumsum([plain_parts(w) for w in some]) - 1] + 1
+            a = 0
+            for w, b in zip(some, last.tolist(), strict=True):
+                known[w] = ids[a:b]
+                a = b
+        rest = [w for w, n in zip(words, parts, strict=True) if not n]
+        for at in range(0, len(rest), 1024):
+            for w, e in zip(rest[at : at + 1024], tok.encode_batch_fast(rest[at : at + 1024], add_special_tokens=False), strict=True):
+                known[w] = e.ids
+
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = list(set(words) - known.keys())
+        for at in range(0, len(texts), 64):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 64]]
+            seen = set().union(*split)
+            new = [w for w in seen if w not in known]
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 known[""] = []
-                new = list(set(words) - {""})
-            for at in range(0, len(new), 1024):
-                for w, e in zip(new[at : at + 1024], tok.encode_batch(new[at : at + 1024], add_special_tokens=False), strict=True):
-                    known[w] = e.ids
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+                new = [w for w in seen if w]
+            learn(new)
+            for words in split:
+                yield np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
 
     return encode
 
