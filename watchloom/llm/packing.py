@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,36 +62,42 @@ def word_ids(path: str):
     vocabulary = tok.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-    known: dict[str, list[int]] = {"": []}
+    known: dict[str, bytes] = {"": b""}  # ids as little-endian 32-bit numbers
+    marks = {m: np.array(tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
 
     def learn(words: list[str]) -> None:
         parts = [plain_parts(w) for w in words]
-        plain = [w for w, n in zip(words, parts, strict=True) if n]
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            last = np.flatnonzero(ends[ids])[np.cumsum([plain_parts(w) for w in some]) - 1] + 1
-            a = 0
-            for w, b in zip(some, last.tolist(), strict=True):
-                known[w] = ids[a:b]
+        stems = list({w if n == 1 else w[:-1] for w, n in zip(words, parts, strict=True) if n})
+        stems = [w for w in stems if w not in known]
+        for at in range(0, len(stems), 4096):
+            some = stems[at : at + 4096]
+            ids = np.array(tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(some, ((np.flatnonzero(ends[ids]) + 1) * 4).tolist(), strict=True):
+                known[w] = raw[a:b]
                 a = b
+        for w, n in zip(words, parts, strict=True):
+            if n == 2:
+                known[w] = known[w[:-1]] + marks[w[-1]]
         rest = [w for w, n in zip(words, parts, strict=True) if not n]
         for at in range(0, len(rest), 1024):
             for w, e in zip(rest[at : at + 1024], tok.encode_batch_fast(rest[at : at + 1024], add_special_tokens=False), strict=True):
-                known[w] = e.ids
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 128):
+            # the tokenizer lower-cases each character by itself; only these two would differ
+            low = [t if "\u0130" in t or "\u03a3" in t or "<|" in t else t.lower() for t in texts[at : at + 128]]
+            split = [t.replace("\n", " ").split(" ") for t in low]
             seen = set().union(*split)
             new = [w for w in seen if w not in known]
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                known[""] = []
+                known[""] = b""
                 new = [w for w in seen if w]
             learn(new)
             for words in split:
-                yield np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4").astype(np.uint32)
 
     return encode
 
