@@ -7,8 +7,9 @@ Method
    minima) and one key per band of ``rows`` full minima.
 2. Documents with the same set are one class; its smallest doc_id stands for it.
    Only representatives go on, so thousands of copies cost one row.
-3. Candidates: in each band bucket every member is paired with four members of
-   the bucket, chosen by hash (never all pairs).  Pairs whose collision-corrected
+3. Candidates: in each band bucket every member meets four members of the
+   bucket, chosen by hash (never all pairs), and is paired with those four that it
+   meets in the most bands.  Pairs whose collision-corrected
    similarity, estimated by counting equal b-bit cells with bit operations, is far
    below the threshold go; of the others each member's two most similar ones are
    confirmed on the full shingle sets of their texts.
@@ -164,11 +165,12 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return saved(comp.join(roots.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = 256, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.13, rounds: int = 4, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = 256, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.13, rounds: int = 4, partners: int = 4, seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     percent: the least similarity; slack: how far below it an estimate may lie
-    for its pair to be confirmed exactly (five standard deviations at k=256).
+    for its pair to be confirmed exactly (five standard deviations at k=256);
+    rounds, partners: turns before the full search, and pairs of a member in one turn.
     """
     least = percent / 100 - slack
     sig = saved(signatures(docs, k, bands, rows, bits, shingle, seed))
@@ -192,7 +194,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
         here = shared.join(comp, "id")
         order = [F.struct(F.xxhash64(F.lit(f"{turn}{i}"), "comp", "id").alias("h"), F.col("id").alias("hub"), F.col("comp").alias("x")) for i in range(2)]
         hubs = here.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *(f(o).alias(f"h{i}{j}") for i, o in enumerate(order) for j, f in enumerate((F.min, F.max)))).where("c0 < c1")
-        pairs = here.join(hubs, "band").select(F.col("id").alias("a"), "comp", F.explode(F.array_distinct(F.array("h00", "h01", "h10", "h11"))).alias("h")).where("comp <> h.x").select("a", F.col("h.hub").alias("b")).distinct()
+        pairs = here.join(hubs, "band").select(F.col("id").alias("a"), "comp", F.explode(F.array_distinct(F.array("h00", "h01", "h10", "h11"))).alias("h")).where("comp <> h.x").groupBy("a", F.col("h.hub").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        # of at most four partners a band those that share the most bands; the full search below is for the rest
+        most_bands = F.sort_array(F.collect_list(F.struct("n", "b")), asc=False)
+        pairs = pairs.groupBy("a").agg(F.slice(most_bands, 1, partners).alias("p")).select("a", F.explode("p.b").alias("b"))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("s", similar_cells("ca", "cb", k, bits)).where(F.col("s") >= least)
         # each member's most similar one, among those of even and of odd hash
         odd = F.pmod(F.xxhash64("b"), F.lit(2)) == 1
