@@ -209,3 +209,43 @@ def evaluate_scenario(actual: DataFrame, expected: DataFrame, key: str) -> DataF
 
 def all_true(*tests: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)
+
+
+# --- eligibility, model lineages, generations, evaluation view
+
+
+def eligible(df: DataFrame, org: str) -> DataFrame:
+    """Qualified and partial events, the first row of each event id by time; a row of another tenant is an error."""
+    own = F.when(F.col("org").eqNullSafe(F.lit(org)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("event of another tenant: "), F.coalesce("org", F.lit("none")))).cast("boolean"))
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy("ts", F.xxhash64(*df.columns)))
+    return df.where(own).where(F.col("quality").isin("qualified", "partial")).withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def sample_range(samples: DataFrame) -> DataFrame:
+    """First start, last end and the number of entities; the entities themselves stay a table (their list grows with the data)."""
+    return samples.agg(F.min("window_start").alias("first_start"), F.max("window_end").alias("last_end"), F.countDistinct("entity_id").alias("entities"))
+
+
+def latest_models(models: DataFrame, lineage: list[str]) -> DataFrame:
+    """The newest version of each lineage, ties by version."""
+    cols = [c for c in models.columns if c not in lineage]
+    return models.groupBy(*lineage).agg(F.max_by(F.struct(*cols), F.struct("created_at", "version")).alias("x")).select(*lineage, "x.*")
+
+
+def retract(current: DataFrame, keys: DataFrame, reason: str, at: str) -> DataFrame:
+    """Retractions at the next revision of the live keys that are given; unknown and already retracted ones give none."""
+    live = current.where("operation = 'upsert'").join(keys.select("business_key").distinct(), "business_key", "left_semi")
+    return live.withColumn("revision", F.col("revision") + 1).withColumn("operation", F.lit("retract")).withColumn("reason", F.lit(reason)).withColumn("at", F.lit(at).cast("timestamp"))
+
+
+def switch_generation(current: DataFrame, rule: str, old: str, at: str) -> DataFrame:
+    """Every live key of a rule's old generation is retracted."""
+    part = F.split("business_key", r"\|")
+    keys = current.where((part[1] == rule) & (F.element_at(part, -1) == old))
+    return retract(current, keys, "generation_switched", at)
+
+
+def feedback_evaluation(feedback: DataFrame, labels: DataFrame, cases: DataFrame) -> DataFrame:
+    """Feedback with its finding's label and the case of its target, else of its source."""
+    f = feedback.join(labels, "finding_id", "left").withColumn("_case", F.coalesce("target_case", "source_case"))
+    return f.join(cases.select(F.col("case_id").alias("_case"), F.col("status").alias("case_status")), "_case", "left").withColumnRenamed("_case", "case_id")

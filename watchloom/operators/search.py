@@ -105,3 +105,24 @@ def export_lines(df: DataFrame, order: list[str], rows: int, size: int, salts: i
     shift = each.select("part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("b0"))
     out = run.join(F.broadcast(shift), "part").withColumn("n", F.col("n") + F.col("n0")).withColumn("bytes", F.col("bytes") + F.col("b0"))
     return out.where((F.col("n") <= rows) & (F.col("bytes") <= size)).select("n", "bytes", "line")
+
+
+def findings_overview(findings: DataFrame) -> DataFrame:
+    """Open findings, open ones of high or critical severity, and the latest time; one row, also of an empty table."""
+    live = F.col("status") == "open"
+    return findings.agg(F.count_if(live).alias("open"), F.count_if(live & F.col("severity").isin("high", "critical")).alias("open_high"), F.max("at").alias("latest"))
+
+
+def list_findings(findings: DataFrame, limit: int = 100, **equal) -> DataFrame:
+    """Newest first, ties by id, with the given fields equal."""
+    if not 1 <= limit <= MAX_ROWS:
+        raise ValueError("limit must be 1 to 1000")
+    for k, v in equal.items():
+        findings = findings.where(F.col(k) == v)
+    return findings.orderBy(F.desc("at"), F.asc("finding_id")).limit(limit)
+
+
+def freshness(df: DataFrame, time: str, now: str, most: int = 300) -> DataFrame:
+    """Seconds since the latest row; degraded beyond most, or if there is none."""
+    age = F.lit(now).cast("timestamp").cast("long") - F.max(time).cast("timestamp").cast("long")
+    return df.agg(age.alias("age")).withColumn("degraded", F.coalesce(F.col("age") > most, F.lit(True)))

@@ -500,3 +500,128 @@ r AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS n, sum(w)
 def s19_export(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     return S.export_lines(x, ["l_orderkey", "l_linenumber"], 5000, 100_000).select("n", "bytes")
+
+
+# --- finding lists, evidence and overview
+
+
+def stored_findings(spark, sf_dir) -> DataFrame:
+    """Orders as findings: priority is severity, status F is closed."""
+    status = F.when(F.col("o_orderstatus") == "F", "retracted").otherwise("open")
+    severity = F.when(F.col("o_orderpriority").startswith("1"), "critical").when(F.col("o_orderpriority").startswith("2"), "high").otherwise("low")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("finding_id"), F.col("o_orderdate").cast("timestamp").alias("at"), status.alias("status"), severity.alias("severity"))
+
+
+FINDINGS = """fi AS (SELECT o_orderkey AS finding_id, o_orderdate AS at0, CASE WHEN o_orderstatus = 'F' THEN 'retracted' ELSE 'open' END AS status,
+ CASE WHEN o_orderpriority LIKE '1%' THEN 'critical' WHEN o_orderpriority LIKE '2%' THEN 'high' ELSE 'low' END AS severity FROM orders)"""
+
+
+@query(f"""WITH {FINDINGS}, u AS (SELECT finding_id, at0, 'open' AS status FROM fi UNION ALL SELECT finding_id, at0 + INTERVAL 1 DAY, status FROM fi), r AS (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY at0 DESC) AS n FROM u)
+SELECT finding_id, {T.format('at0')} AS at, status FROM r WHERE n = 1 AND status <> 'retracted' ORDER BY at0 DESC, finding_id LIMIT 100""")
+def q20_merge_findings(spark, sf_dir):
+    x = stored_findings(spark, sf_dir).select("finding_id", "at", "status")
+    out = S.merge_findings(x.withColumn("status", F.lit("open")), x.withColumn("at", F.col("at") + F.expr("interval 1 day")), "finding_id", "at", 100)
+    return out.withColumn("at", V.text_time(F.col("at")))
+
+
+@query(f"WITH {FINDINGS} SELECT finding_id, {T.format('at0')} AS at FROM fi WHERE severity = 'critical' AND status = 'open' ORDER BY at0 DESC, finding_id LIMIT 200")
+def q19_list_findings(spark, sf_dir):
+    return S.list_findings(stored_findings(spark, sf_dir), 200, severity="critical", status="open").select("finding_id", V.text_time(F.col("at")).alias("at"))
+
+
+@query(f"WITH {FINDINGS} SELECT count(*) FILTER (status = 'open') AS open, count(*) FILTER (status = 'open' AND severity IN ('high', 'critical')) AS open_high, {T.format('max(at0)')} AS latest FROM fi")
+def q22_findings_overview(spark, sf_dir):
+    return S.findings_overview(stored_findings(spark, sf_dir)).withColumn("latest", V.text_time(F.col("latest")))
+
+
+@query("SELECT (epoch(TIMESTAMP '2024-03-01') - floor(epoch(max(ts))))::BIGINT AS age, epoch(TIMESTAMP '2024-03-01') - floor(epoch(max(ts))) > 300 AS degraded FROM events")
+def q23_freshness(spark, sf_dir):
+    return S.freshness(table(spark, sf_dir, "events"), "ts", "2024-03-01")
+
+
+@query(f"WITH {EV}, m AS (SELECT *, count(*) OVER () > 200 AS truncated FROM ev WHERE entity_id = 7 AND outcome = 'failure') SELECT event_id, {T.format('ts')} AS ts, truncated FROM m ORDER BY m.ts, event_id LIMIT 200")
+def q21_evidence(spark, sf_dir):
+    x = events(spark, sf_dir)
+    found = x.where("outcome = 'failure'").groupBy(F.col("entity_id").alias("finding_id")).agg(F.collect_list("event_id").alias("evidence"))
+    return S.evidence(found, x, 7).select("event_id", V.text_time(F.col("ts")).alias("ts"), "truncated")
+
+
+# --- more of ingest, entities, baselines, revisions and feedback
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type || '.example' END AS server_name, 'TLSv12' AS version, CASE WHEN event_id % 5 = 0 THEN 'UIM_TLS_SERVER_NAME_REQUIRED' END AS error_code FROM events""")
+def n06_tls(spark, sf_dir):
+    rec = F.struct(F.when(F.col("event_id") % 5 != 0, F.concat("event_type", F.lit(".example"))).alias("server_name"), F.lit("TLSv12").alias("version"))
+    return I.normalize_tls(table(spark, sf_dir, "events").select("event_id", F.to_json(rec).alias("payload"))).select("event_id", "server_name", "version", "error_code")
+
+
+@query("""SELECT quality, reasons, count(*) AS n FROM (SELECT CASE WHEN value > 50 OR user_id = 7 THEN 'partial' ELSE 'qualified' END AS quality, concat_ws(',', CASE WHEN value > 50 THEN 'large' END, CASE WHEN user_id = 7 THEN 'seven' END) AS reasons FROM events) GROUP BY ALL""")
+def n10_quality(spark, sf_dir):
+    x = I.with_quality(table(spark, sf_dir, "events"), [(F.col("value") > 50, "large"), (F.col("user_id") == 7, "seven")], F.lit("authentication"))
+    return x.groupBy("quality", F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_id, {T.format('ts')} AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-18'")
+def s08_prune_receipts(spark, sf_dir):
+    return I.prune_receipts(table(spark, sf_dir, "events"), "ts", "2024-01-20").select("event_id", V.text_time(F.col("ts")).alias("ts"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job_id, o_custkey AS case_id, o_orderdate AS ended, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'done' END AS outcome, (SELECT max(o_orderdate) FROM orders) AS now FROM orders)
+SELECT job_id FROM j WHERE ended < now - to_days(CASE outcome WHEN 'failed' THEN 90 ELSE 30 END) AND case_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def s24_prunable_jobs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("ended"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("outcome"))
+    links = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("case_id"))
+    held = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("case_id"))
+    now = o.agg(F.max("o_orderdate").cast("string")).first()[0]
+    return I.prunable(jobs, links, held, now, {"failed": 90, "done": 30}).select("job_id")
+
+
+@query("SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'conflict' ELSE 'idempotent' END AS outcome, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'inserted', count(*) FROM customer")
+def e22_register_rules(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("rule"), F.lit("1").alias("version"), F.col("c_mktsegment").alias("content"), "c_nationkey")
+    changed = c.withColumn("content", F.when(F.col("c_nationkey") % 2 == 0, "changed").otherwise(F.col("content")))
+    new = changed.unionByName(c.withColumn("version", F.lit("2")))
+    return M.register(c.drop("c_nationkey"), new, ["rule", "version"], "content").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {HOLD} SELECT part, supp AS entity_id FROM h WHERE valid_from <= TIMESTAMP '1996-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-01-01')")
+def j02_relations_at(spark, sf_dir):
+    return E.relations_at(holders(spark, sf_dir), "1996-01-01").select("part", "entity_id")
+
+
+@query(f"WITH {EV} SELECT entity_id, outcome AS role, count(*) AS n FROM ev WHERE outcome <> 'unknown' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def e17_role_counts(spark, sf_dir):
+    x = events(spark, sf_dir).withColumn("role", F.col("outcome")).withColumn("state", F.when(F.col("outcome") != "unknown", "resolved").otherwise("unresolved"))
+    return E.role_counts(x, "2024-01-05", "2024-01-20")
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events WHERE value <= 80 GROUP BY ALL")
+def d01_eligible(spark, sf_dir):
+    x = table(spark, sf_dir, "events").withColumn("org", F.lit("tenant")).withColumn("quality", F.when(F.col("value") > 80, "rejected").when(F.col("value") > 50, "partial").when(F.col("value").isNotNull(), "qualified"))
+    return A.eligible(x.union(x), "tenant").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT {T.format("min(date_trunc('day', ts))")} AS first_start, {T.format("max(date_trunc('day', ts)) + INTERVAL 1 DAY")} AS last_end, count(DISTINCT user_id) AS entities FROM events")
+def b06_sample_range(spark, sf_dir):
+    x = A.sample_range(samples(spark, sf_dir))
+    return x.select(V.text_time(F.col("first_start")).alias("first_start"), V.text_time(F.col("last_end")).alias("last_end"), "entities")
+
+
+@query(f"SELECT o_custkey AS lineage, max(struct_pack(a := o_orderdate, v := o_orderkey)).v AS version, {T.format('max(o_orderdate)')} AS created_at FROM orders GROUP BY o_custkey")
+def b08_latest_models(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lineage"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    return A.latest_models(m, ["lineage"]).withColumn("created_at", V.text_time(F.col("created_at")))
+
+
+@query(f"WITH {FRAMES} SELECT k AS business_key, (max(revision) + 1)::INT AS revision, 'retract' AS operation FROM fr GROUP BY k HAVING arg_max(op, revision) = 'upsert'")
+def r05_switch_generation(spark, sf_dir):
+    return A.switch_generation(A.current_view(frames(spark, sf_dir)), "failure-burst", "g1", "2024-02-01").select("business_key", "revision", "operation")
+
+
+@query("""WITH f AS (SELECT doc_id AS id, doc_id % 50 AS finding_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 30 ELSE doc_id % 40 END AS case_id, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'true_positive' ELSE 'false_positive' END AS f, (doc_id % 7) * 1000000000 + doc_id AS o FROM labels),
+l AS (SELECT finding_id, arg_max(f, o) AS label FROM f WHERE f IS NOT NULL GROUP BY finding_id) SELECT id, finding_id, label, case_id, c_mktsegment AS case_status FROM f LEFT JOIN l USING (finding_id) LEFT JOIN customer ON c_custkey = case_id""")
+def j04_feedback_evaluation(spark, sf_dir):
+    f = feedback(spark, sf_dir).withColumn("target_case", F.when(F.col("id") % 2 == 0, F.col("id") % 30)).withColumn("source_case", F.col("id") % 40)
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("status"))
+    return A.feedback_evaluation(f, A.finding_labels(f), cases).select("id", "finding_id", "label", "case_id", "case_status")

@@ -139,3 +139,8 @@ def write_events(df: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     df.dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("domain", "day").parquet(path)
+
+
+def prune_receipts(df: DataFrame, time: str, now: str, days: int = 2) -> DataFrame:
+    """Receipts that stay: the cutoff is fixed once, by the given time and not by each task's clock."""
+    return df.where(F.col(time) >= F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days)))
