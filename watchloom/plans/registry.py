@@ -19,6 +19,7 @@ from watchloom.operators import entities as E
 from watchloom.operators import merge as M
 from watchloom.operators import search as S
 from watchloom.sources import ingest as I
+from watchloom.streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,8 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(table(spark, sf_dir, "events"))
+
+
+def shaped(raw: DataFrame) -> DataFrame:
     outcome = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("unknown")
-    return table(spark, sf_dir, "events").select(
+    return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("entity_id"), outcome.alias("outcome"), "event_type", "value", "props",
         F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string")).alias("host_id"), F.concat(F.lit("10.0.0."), (F.col("event_id") % 11).cast("string")).alias("source_ip"),
     )
@@ -625,3 +630,25 @@ def j04_feedback_evaluation(spark, sf_dir):
     f = feedback(spark, sf_dir).withColumn("target_case", F.when(F.col("id") % 2 == 0, F.col("id") % 30)).withColumn("source_case", F.col("id") % 40)
     cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("status"))
     return A.feedback_evaluation(f, A.finding_labels(f), cases).select("id", "finding_id", "label", "case_id", "case_status")
+
+
+# --- streams
+
+
+@query(f"""WITH {EV} SELECT entity_id, {T.format("date_trunc('day', ts)")} AS window_start, count(*) AS attempts, count(*) FILTER (outcome = 'failure') AS failures, count(DISTINCT host_id)::INT AS distinct_devices, count(DISTINCT source_ip)::INT AS distinct_ips
+FROM ev WHERE entity_id IS NOT NULL GROUP BY entity_id, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE""")
+def f18_stream_features(spark, sf_dir):
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    x = W.replay(shaped(raw), "1 day")
+    return x.select("entity_id", V.text_time(F.col("window_start")).alias("window_start"), "attempts", "failures", "distinct_devices", "distinct_ips")
+
+
+@query(f"""WITH {EV}, a AS (SELECT *, event_id AS arrival, ts - to_minutes((event_id % 9)::INT) AS received FROM ev UNION ALL SELECT *, event_id + 1000000000, ts FROM ev WHERE outcome = 'failure'),
+b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival) AS n, ts > received + INTERVAL 5 MINUTE AS ahead FROM a),
+c AS (SELECT *, max(CASE WHEN n = 1 AND NOT ahead THEN ts END) OVER (PARTITION BY entity_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS m FROM b)
+SELECT CASE WHEN n > 1 THEN 'duplicate' WHEN ahead THEN 'future_rejected' WHEN ts < m THEN 'late_accepted' ELSE 'added' END AS disposition, count(*) AS n FROM c GROUP BY 1""")
+def f13_disposition_counts(spark, sf_dir):
+    x = events(spark, sf_dir)
+    one = x.withColumn("arrival", F.col("event_id")).withColumn("received", F.col("ts") - F.make_dt_interval(mins=(F.col("event_id") % 9).cast("int")))
+    two = x.where("outcome = 'failure'").withColumn("arrival", F.col("event_id") + 1_000_000_000).withColumn("received", F.col("ts"))
+    return W.dispositions(one.unionByName(two), "arrival", "received").groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
