@@ -215,6 +215,40 @@ def test_mixing_odd(odd, spark):
     assert mixing.scores(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_counts_all_occurrences(docs, rows, spark):
+    # the dictionary's size is a matter of cost only
+    a = {r.doc_id: r.score for r in mixing.scores(docs, hot_words=500).collect()}
+    b = {r.doc_id: r.score for r in mixing.scores(docs, hot_words=0).collect()}
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+    words = spark.createDataFrame([(b"ab", 5, 5)], "word binary, n long, seen long")
+    place = mixing.context_counts(words)[0]
+    assert place.sum() == 5 * 3 * 8
+
+
+def test_prefix_counts_over_ranges(spark, rows):
+    seen = Counter(w for r in rows[:40] for w in (r.text or "").encode().lower().split())
+    seen[b""] = 7
+    table = [(w, n if i % 5 else 0, n) for i, (w, n) in enumerate(sorted(seen.items()))]
+    want = Counter()
+    for w, n, _ in table:
+        bits = "".join(f"{x:08b}" for x in mixing.coded(w))
+        for i in range(len(bits)):
+            want[bits[: i + 1]] += n
+    ranges = mixing.Ranges(spark.createDataFrame(table, "word binary, n long, seen long"), range_words=len(table) // 6)
+    shared = ranges.shared.value
+    parts, checked = ranges.words.toPandas().groupby("part"), 0
+    assert len(parts) > 3 and shared
+    for _, part in parts:
+        own = sorted((mixing.coded(bytes(w)), n) for w, n in zip(part.word, part.n, strict=True))
+        got = iter(mixing.prefix_counts([k for k, _ in own], np.array([n for _, n in own]), shared).reshape(-1, 2))
+        for key, _ in own:
+            bits = "".join(f"{x:08b}" for x in key)
+            for i in range(len(bits)):
+                assert tuple(next(got)) == (want[bits[:i] + "0"], want[bits[:i] + "1"])
+                checked += 1
+    assert checked > 1000
+
+
 def test_pii(spark, odd):
     text = "a.b@x.example.com 4111 1111 1111 1111 4111111111111111 4111111111111112 123-45-6789 +1 (743) 555-3824 152.143.123.131 999.1.1.1 DE89370400440532013000 1984-02-29 30.02.1985 31/12/1999"
     df = spark.createDataFrame([(1, text), (2, f"again {text}"), (3, None), (4, "")], "doc_id long, text string")
