@@ -281,6 +281,15 @@ def test_wrapper(spark, sf_dir):
     assert wrapper.main_texts(df.where("false")).count() == 0
 
 
+def test_names_of_layout_states_are_no_boilerplate():
+    story = "<p>the story itself, which is long enough to be most of it</p>"
+    want = "the story itself, which is long enough to be most of it"
+    for page in (f"<body class='has-sidebar'><article>{story}</article></body>", f"<html class='no-search'><body class='has-sidebar'><div id=page class='with-sidebar'>{story}</div></body></html>", f"<div id=page class='with-sidebar'><article>{story}</article><div class=sidebar><p>side</p></div></div>", f"<body><article class='post social'>{story}</article></body>", f"<main class='main search'>{story}<div class=comments>nice</div></main>"):
+        assert wrapper.extract(page) == want
+    assert wrapper.extract(f"<body><article><div class='page-header'><h1>Head</h1></div>{story}</article></body>") == f"Head\n{want}"
+    assert wrapper.extract(f"<body><div class=sidebar><article><p>teaser</p></article></div><div>{story}</div></body>") == want
+
+
 def test_tree_matching():
     a, b = (wrapper.Folded([wrapper.parse(f"<div><p>{t}</p><ul><li>x<li>y</ul></div>")]) for t in "pq")
     assert wrapper.tree_match(a, b) == 5

@@ -12,7 +12,8 @@ varies are slots.  The wrapper of a host is the hash set of its template texts a
 the paths of its slots.  Every page, sampled or not, is then read with its host's
 wrapper: the content root is the page's article or main element, else the slot that
 holds the most text; menus, headers, footers, asides, forms, scripts, styles and
-blocks that name themselves adverts, notices, sidebars or comments are left out,
+blocks that name themselves adverts, notices, sidebars or comments are left out
+(html, body, main, an only article and blocks with most of the text are never such),
 and so is template text, unless it is a paragraph or heading of the article itself
 (the same passage may well be content of two pages).
 
@@ -46,6 +47,7 @@ CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li summary tbo
 LEFT_OUT = frozenset("nav header footer aside form head script style noscript template iframe svg math select button object canvas menu dialog textarea title".split())
 #: Words in class, id or role by which a block says what it is.
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|sidebar|side-bar|widget|comments?|comment-list|respond|reply|replies|disqus|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|popup|modal|pagination|pager|toolbar|search|login|signup)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -133,6 +135,42 @@ def parse(page: str) -> Node:
     return root
 
 
+def heed_names(root: Node) -> Node:
+    """Takes the mark of boilerplate from blocks whose name can't mean that: layout states of the page, and what holds its content."""
+    order = list(walk(root))
+    for n in order:
+        if n.tag in ("html", "body", "main"):
+            n.boiler = False
+    size, heads = {}, {}
+    for n in reversed(order):
+        kids = [x for x in n.items if isinstance(x, Node)]
+        size[id(n)] = sum(len(x) for x in n.items if isinstance(x, str)) + sum(size[id(x)] for x in kids if x.tag not in LEFT_OUT)
+        heads[id(n)] = (n.tag == "h1") + sum(heads[id(x)] for x in kids)
+
+    def free(article: bool) -> Iterator[Node]:
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            if n.tag in LEFT_OUT or n.boiler and not (article and n.tag == "article"):
+                continue
+            if n.tag in ("article", "main"):
+                yield n
+            todo.extend(x for x in n.items if isinstance(x, Node))
+
+    if next(free(False), None) is None:
+        for n in order:
+            if n.boiler and 2 * size[id(n)] > size[id(root)]:
+                n.boiler = False
+        if next(free(False), None) is None:
+            for n in list(free(True)):
+                n.boiler = False
+    for n in order:
+        # a header, other than the site's own element, around the only h1
+        if n.boiler and heads[id(n)] == heads[id(root)] == 1 and HEADER.search(n.mark) and (n.tag != "header" or "/article" in n.path):
+            n.boiler = False
+    return root
+
+
 def own_text(node: Node) -> str:
     return "\n".join(x for x in node.items if isinstance(x, str))
 
@@ -238,7 +276,7 @@ def extract(page: str | None, template: list[int] | None = None, slots: list[str
     """The main text of one page, read with its host's wrapper if there is one."""
     if not page:
         return ""
-    root, known = parse(page), set(template or ())
+    root, known = heed_names(parse(page)), set(template or ())
     # the outermost articles: a teaser inside a boilerplate block is none
     found, todo = [], [root]
     while todo:
