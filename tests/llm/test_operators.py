@@ -290,6 +290,18 @@ def test_names_of_layout_states_are_no_boilerplate():
     assert wrapper.extract(f"<body><div class=sidebar><article><p>teaser</p></article></div><div>{story}</div></body>") == want
 
 
+def test_wrapper_decides_within_articles():
+    page = "<body><article><h1>Head {0}</h1><p>story {0} has its words</p><p>Read more on our site</p></article></body>"
+    pages = [page.format(i) for i in range(5)]
+    assert wrapper.extract(pages[2], *wrapper.induce(pages)) == "Head 2\nstory 2 has its words"
+    # two pages may share a passage by chance
+    assert wrapper.extract(pages[0], *wrapper.induce(pages[:2])).endswith("Read more on our site")
+    # an article that is only a teaser is not the page's content
+    page = "<body><article><p>Our best story, the same on all pages</p></article><div id=c><p>text {0} of the page</p><p>and more {0}</p></div></body>"
+    pages = [page.format(i) for i in range(5)]
+    assert wrapper.extract(pages[3], *wrapper.induce(pages)) == "text 3 of the page\nand more 3"
+
+
 def test_tree_matching():
     a, b = (wrapper.Folded([wrapper.parse(f"<div><p>{t}</p><ul><li>x<li>y</ul></div>")]) for t in "pq")
     assert wrapper.tree_match(a, b) == 5

@@ -10,12 +10,12 @@ small.  Matched nodes whose own text is the same in at least ``constant`` of the
 aligned pages, and in two different pages, are template; matched nodes whose text
 varies are slots.  The wrapper of a host is the hash set of its template texts and
 the paths of its slots.  Every page, sampled or not, is then read with its host's
-wrapper: the content root is the page's article or main element, else the slot that
-holds the most text; menus, headers, footers, asides, forms, scripts, styles and
+wrapper: the content root is the page's article or main element, unless most of the
+slots' text is elsewhere, else the smallest element that holds most of that text; menus, headers, footers, asides, forms, scripts, styles and
 blocks that name themselves adverts, notices, sidebars or comments are left out
 (html, body, main, an only article and blocks with most of the text are never such),
-and so is template text, unless it is a paragraph or heading of the article itself
-(the same passage may well be content of two pages).
+and so is template text.  A paragraph or heading of the article itself is template
+only if three pages have it (the same passage may well be content of two pages).
 
 Only ids are grouped to choose the sample, and a group of the induction holds at
 most ``sample`` pages; a host with a third of all pages is split over tasks when
@@ -48,6 +48,7 @@ LEFT_OUT = frozenset("nav header footer aside form head script style noscript te
 #: Words in class, id or role by which a block says what it is.
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|sidebar|side-bar|widget|comments?|comment-list|respond|reply|replies|disqus|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|popup|modal|pagination|pager|toolbar|search|login|signup)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+IN_ARTICLE = re.compile(r"/(?:article|main)(?:[./]|$)")
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -231,6 +232,7 @@ def induce(pages: list[str], constant: float = 0.6) -> tuple[list[int], list[str
         return [], []
     seen: dict[int, set[int]] = {}
     slots: dict[str, int] = {}
+    within: set[int] = set()  # texts of paragraphs and the like in an article: two pages may share one by chance
     for i in range(len(trees)):
         for j in range(i + 1, len(trees)):
             pairs: list[tuple[Folded, Folded]] = []
@@ -238,15 +240,18 @@ def induce(pages: list[str], constant: float = 0.6) -> tuple[list[int], list[str
             for a, b in pairs:
                 both = set(a.texts) & set(b.texts)
                 for t in both:
-                    seen.setdefault(text_key(a.path, t), set()).update((i, j))
+                    key = text_key(a.path, t)
+                    seen.setdefault(key, set()).update((i, j))
+                    if a.key[0] in CONTENT_TAGS and IN_ARTICLE.search(a.path):
+                        within.add(key)
                 if len(both) < max(len(set(a.texts)), len(set(b.texts))):
                     slots[a.path] = slots.get(a.path, 0) + 1
     least = max(2, constant * len(trees))
-    return sorted(k for k, v in seen.items() if len(v) >= least), sorted(p for p, v in slots.items() if 3 * v >= len(trees))
+    return sorted(k for k, v in seen.items() if len(v) >= (max(least, 3) if k in within else least)), sorted(p for p, v in slots.items() if 3 * v >= len(trees))
 
 
-def blocks(node: Node, template: set[int], inside: bool) -> Iterator[str]:
-    """Content blocks below a node in page order; iterative, as pages may nest deeply."""
+def blocks(node: Node, template: set[int], inside: bool, paths: set[str] | None = None) -> Iterator[str]:
+    """Content blocks below a node in page order, of these paths if given; iterative, as pages may nest deeply."""
     stack = [iter(node.items)]
     where = [(node, inside)]
     while stack:
@@ -257,7 +262,7 @@ def blocks(node: Node, template: set[int], inside: bool) -> Iterator[str]:
             continue
         parent, article = where[-1]
         if isinstance(x, str):
-            if not template or (article and parent.tag in CONTENT_TAGS) or text_key(parent.path, own_text(parent)) not in template:
+            if (paths is None or parent.path in paths) and (not template or text_key(parent.path, own_text(parent)) not in template):
                 yield x
         elif x.tag not in LEFT_OUT and not x.boiler or (x.tag == "header" and article and not x.boiler):
             stack.append(iter(x.items))
@@ -288,14 +293,18 @@ def extract(page: str | None, template: list[int] | None = None, slots: list[str
             found.extend(inner[:1] if len(inner) == 1 else [n])
             continue
         todo.extend(x for x in reversed(n.items) if isinstance(x, Node))
-    if found:
-        return "\n".join(b for n in found for b in blocks(n, known, True))
     paths = set(slots or ())
-    if paths:
-        # the smallest subtree that holds most of the varying text
-        best, size = root, sum(len(b) for b in blocks(root, known, False))
+    size = sum(len(b) for b in blocks(root, known, False, paths)) if paths else 0
+    # the page's articles, unless most of the varying text is elsewhere
+    if found and 2 * sum(len(b) for n in found for b in blocks(n, known, True, paths)) >= size:
+        text = "\n".join(b for n in found for b in blocks(n, known, True))
+        # an article of nothing but template is a copy of the others
+        return text or "\n".join(b for n in found for b in blocks(n, set(), True))
+    if size:
+        # the smallest subtree that holds most of the text of the slots
+        best = root
         while True:
-            kids = [(sum(len(b) for b in blocks(x, known, False)), i, x) for i, x in enumerate(best.items) if isinstance(x, Node) and x.tag not in LEFT_OUT and not x.boiler and x.tag not in CONTENT_TAGS]
+            kids = [(sum(len(b) for b in blocks(x, known, False, paths)), i, x) for i, x in enumerate(best.items) if isinstance(x, Node) and x.tag not in LEFT_OUT and not x.boiler and x.tag not in CONTENT_TAGS]
             top = max(kids, default=None)
             if top is None or top[0] < 0.7 * size:
                 break
