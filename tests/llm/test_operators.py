@@ -307,6 +307,15 @@ def test_tree_matching():
     assert wrapper.tree_match(a, b) == 5
 
 
+def test_near_dedup_stage_keeps_one_row_of_each(odd, spark):
+    got = near_dedup.keep_one_of_each(odd)
+    assert got.columns == odd.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter([1, 2, 3, 4, 5, None, 6])
+    a, b = "one long sentence of words that is here for good", "another text which has nothing to do with the first one"
+    df = spark.createDataFrame([(1, a), (7, b), (7, a), (None, b), (None, "a third text without any id that no one repeats")], "doc_id long, text string")
+    assert sorted(r.text for r in near_dedup.keep_one_of_each(df).collect()) == sorted([a, b, "a third text without any id that no one repeats"])
+
+
 def test_pipeline(spark, docs, sf_dir):
     import corpus_pipeline as P
 

@@ -226,6 +226,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document stands for its group; of rows that repeat its doc_id one stays."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of docs for each group of near duplicates.
+
+    Rows are told apart by a number of their own, not by doc_id: rows without id
+    are nodes like all others, and of rows that repeat a doc_id with different
+    texts each belongs to its own text's group.  The row that stays has the
+    group's smallest number.
+    """
+    at, names = "_watchloom_row", docs.columns
+    rows = saved(docs.withColumn(at, F.monotonically_increasing_id()))
+    kept = near_duplicates(rows.select(F.col(at).alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias(at))
+    return rows.join(kept, at, "left_semi").select(*names)
