@@ -185,6 +185,17 @@ def test_language_held_out(docs, odd, spark):
     assert kept.columns == docs.columns and kept.count() >= 0.95 * docs.count()
 
 
+def test_language_of_symbols_beyond_the_basic_plane(docs, spark):
+    emoji, gothic = "\U0001f600\U0001f680 \U0001f44d", "\U00010330\U00010331"
+    assert language.term_counts(emoji) is None and language.term_counts(gothic) is not None
+    for a, b in zip(language.term_counts(f"two {emoji} words"), language.term_counts("two words"), strict=True):
+        assert (a == b).all()
+    model = language.fit(docs)
+    df = spark.createDataFrame([(1, emoji), (2, f"{emoji}\n")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in language.predict(df, model).collect()} == {("und", 0.0)}
+    assert language.known_language(df, model).count() == 0
+
+
 def test_mixing(docs, rows):
     got = {r.doc_id: r for r in mixing.scores(docs, hot_words=500).collect()}
     seen = Counter()

@@ -38,16 +38,16 @@ _letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Which code points of the basic plane are letters; made once a worker."""
+    """Which code points are letters; made once a worker."""
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """(buckets, counts) of the text's n-grams; None if it has no letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    alpha = letter_table()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    alpha = letter_table()[c]
     if not alpha.any():
         return None
     # a blank stands for each run of other characters, at the ends too
