@@ -313,6 +313,15 @@ def test_wrapper_decides_within_articles():
     assert wrapper.extract(pages[3], *wrapper.induce(pages)) == "text 3 of the page\nand more 3"
 
 
+def test_template_of_rare_layouts(spark):
+    page = "<body><div class='{0}'><div>This is layout {0}</div><p>story {1} of the page</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"k{i % 9}", i)) for i in range(45)]
+    rows += [(100 + i, "http://h.example/copy", page.format("k9", "copied")) for i in range(30)]
+    got = {r.page_id: r.text for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} of the page" for i in range(45))
+    assert "story copied of the page" in got[100]
+
+
 def test_tree_matching():
     a, b = (wrapper.Folded([wrapper.parse(f"<div><p>{t}</p><ul><li>x<li>y</ul></div>")]) for t in "pq")
     assert wrapper.tree_match(a, b) == 5

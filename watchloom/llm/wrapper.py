@@ -6,9 +6,10 @@ Pages of one host come from one template.  For each host a bounded sample of pag
 (``sample`` of them, those that come first under as many hash orders of page_id, a
 documented parameter) is parsed, and their DOM trees are aligned pairwise by simple
 tree matching, with runs of like siblings folded to one node so that trees stay
-small.  Matched nodes whose own text is the same in at least ``constant`` of the
-aligned pages, and in two different pages, are template; matched nodes whose text
-varies are slots.  The wrapper of a host is the hash set of its template texts and
+small.  Matched nodes whose text varies are slots.  Template are the texts that at
+least ``constant`` of the host's different pages that have the text's path (elements
+and their names) show there, and two of them; they are counted over all pages, so
+that a layout's boilerplate is found however rare the layout is.  The wrapper of a host is the hash set of its template texts and
 the paths of its slots.  Every page, sampled or not, is then read with its host's
 wrapper: the content root is the page's article or main element, unless most of the
 slots' text is elsewhere, else the smallest element that holds most of that text; menus, headers, footers, asides, forms, scripts, styles and
@@ -319,8 +320,50 @@ def host_of(url: str) -> F.Column:
     return F.when(host != "", host)
 
 
+def count_batches(most: int = 200_000):
+    """A mapInArrow function (host, html, weight) -> (host, path, text, n): pages with a text at a path, and (text null) with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[tuple[str, int, int | None, bool], float] = {}
+
+        def out() -> pa.RecordBatch:
+            cols = zip(*((h, p, t, w, x) for (h, p, t, w), x in n.items()), strict=True) if n else [[]] * 5
+            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], names=["host", "path", "text", "within", "n"])
+            n.clear()
+            return got
+
+        for batch in batches:
+            for part in pieces(batch):
+                for host, page, weight in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    seen = set()
+                    for x in walk(parse(page)):
+                        if text := own_text(x):
+                            path = text_key(x.path, "")
+                            seen.add((host, path, None, False))
+                            seen.add((host, path, text_key(x.path, text), x.tag in CONTENT_TAGS and bool(IN_ARTICLE.search(x.path))))
+                    for key in seen:
+                        n[key] = n.get(key, 0.0) + weight
+                if len(n) > most:
+                    yield out()
+        yield out()
+
+    return run
+
+
+def templates(pages: DataFrame, constant: float = 0.6) -> DataFrame:
+    """(host, template array<long>): texts on most of the host's different pages that have their path, counted over all of them."""
+    rows = pages.where("host is not null and html is not null").select("host", "html", F.xxhash64("html").alias("h"))
+    # copies of one page count as one page
+    copies = saved(rows.groupBy("host", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    rows = rows.join(copies, ["host", "h"], "left").select("host", "html", (1.0 / F.coalesce("c", F.lit(1))).alias("weight"))
+    n = saved(rows.mapInArrow(count_batches(), "host string, path long, text long, within boolean, n double").groupBy("host", "path", "text", "within").agg(F.sum("n").alias("n")).where("text is null or n > 1.5"))
+    every = n.where("text is null").select("host", "path", F.col("n").alias("every"))
+    least = F.greatest(F.when(F.col("within"), 3.0).otherwise(2.0), F.col("every") * constant)
+    return n.where("text is not null").join(every, ["host", "path"]).where(F.col("n") >= least - 1e-6).groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("template"))
+
+
 def wrappers(pages: DataFrame, sample: int = 6, constant: float = 0.6) -> DataFrame:
-    """(host, template array<long>, slots array<string>) for each host with two pages or more."""
+    """(host, template array<long>, slots array<string>) for each host with two pages or more: template texts counted over all pages, slots from matched ones."""
     ids = pages.where("host is not null and html is not null and page_id is not null").select("host", "page_id")
     picks = [F.min_by("page_id", F.xxhash64(F.lit(i), "page_id")).alias(f"p{i}") for i in range(sample)]
     chosen = ids.groupBy("host").agg(*picks).select("host", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(sample)]))).alias("page_id"))
@@ -331,7 +374,9 @@ def wrappers(pages: DataFrame, sample: int = 6, constant: float = 0.6) -> DataFr
         template, slots = induce(order.column("html").to_pylist(), constant)
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([template], pa.list_(pa.int64())), "slots": pa.array([slots], pa.list_(pa.string()))})
 
-    return rows.groupBy("host").applyInArrow(run, "host string, template array<long>, slots array<string>").where("size(template) + size(slots) > 0")
+    matched = rows.groupBy("host").applyInArrow(run, "host string, template array<long>, slots array<string>").drop("template")
+    got = matched.join(templates(pages, constant), "host", "full").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots"))
+    return got.where("size(template) + size(slots) > 0")
 
 
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
