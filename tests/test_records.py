@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from watchloom.operators import occurrences, records
+from watchloom.sources import ingest
 
 
 def test_unknown_key_and_empty_tables(spark):
@@ -13,6 +14,12 @@ def test_unknown_key_and_empty_tables(spark):
     assert occurrences.transfer_weak(known, asked.limit(0), ["at"]).count() == 0
 
 
+def test_bare_endpoint_spellings(spark):
+    df = spark.createDataFrame([('{"ts": 1.5, "orig_h": "10.0.0.1", "resp_h": "10.0.0.2", "orig_p": 5, "resp_p": 80}',)], "payload string")
+    r = ingest.normalize_conn(df).first()
+    assert (r.source_ip, r.destination_ip, r.source_port, r.destination_port, r.error_code) == ("10.0.0.1", "10.0.0.2", 5, 80, None)
+
+
 def test_close_twice(spark):
     rel = spark.createDataFrame([(1, 1, None), (2, 1, 4)], "relation_id int, valid_from int, valid_to int")
     asked = spark.createDataFrame([(1, 3, 0), (1, 3, 1), (1, 5, 2), (2, 4, 3), (2, 9, 4), (3, 1, 5)], "relation_id int, at int, n int")

@@ -35,7 +35,7 @@ def read_log_files(spark, path: str, most: int = 1 << 20) -> DataFrame:
 def normalize_conn(df: DataFrame, j: str = "payload") -> DataFrame:
     """Network connections: endpoints, transport, duration in ns, bytes and packets as sums of whole numbers."""
     get = lambda p: F.get_json_object(j, f"$.{p}")
-    either = lambda a, b: F.coalesce(get(a), F.get_json_object(j, b))
+    either = lambda a, b: F.coalesce(*(F.nullif(x, F.lit("")) for x in (get(a), F.get_json_object(j, b), get(a.removeprefix("id.")))))
     port = lambda c: F.when(c.try_cast("int").between(0, 65535), c.try_cast("int"))
     whole = lambda c: F.when(c.rlike(r"^\d+$"), c.try_cast("long"))
     src, dst = either("id.orig_h", "$['id.orig_h']"), either("id.resp_h", "$['id.resp_h']")
