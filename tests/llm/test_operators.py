@@ -75,6 +75,54 @@ def test_chain_of_near_copies(spark):
     assert {r.component_id for r in near_dedup.near_duplicates(df, shingle=4).collect()} == {0}
 
 
+def planted_family(rng, n, least, most, tail=""):
+    """A base text of 150 words and n copies with least to most words replaced."""
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for j in range(n):
+        w = list(base)
+        for at in rng.choice(150, rng.integers(least, most + 1), replace=False):
+            w[at] = f"x{tail}{j}_{at}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_families_of_near_copies_and_near_misses(spark):
+    """2000 copies with up to four words replaced, and 2000 that stay just short of the threshold, against all pairs."""
+    rng = np.random.default_rng(5)
+    texts = planted_family(rng, 1, 0, 0) + planted_family(rng, 1999, 1, 8) + [t.replace("w", "m") for t in planted_family(rng, 2000, 5, 6, "m")]
+    # some of the near misses differ from another one in one word only
+    texts += [t.replace("m10 ", "other ") for t in texts[2000:2050]]
+    place, n = {}, len(texts)
+    sets = [[place.setdefault(s, len(place)) for s in shingles(t, 4)] for t in texts]
+    holders = [[] for _ in place]
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    both = np.zeros((n, n), np.int32)
+    for h in holders:
+        if len(h) > 1:
+            both[np.ix_(h, h)] += 1
+    size = np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    low = np.arange(n)
+    while True:
+        new = np.minimum(low, np.where(linked, low[None, :], n).min(axis=1))
+        if (new == low).all():
+            break
+        low = new
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=4).collect()}
+    assert got == dict(enumerate(low.tolist())) and 1000 < len(set(low.tolist())) < 4000
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(7, a), (7, b), (7, b), (3, b + " more"), (None, a), (None, "alone without any id")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, shingle=4).collect()), key=str)
+    assert got == sorted([(7, 37, 7, True), (7, 37, 3, False), (7, 37, 3, False), (3, 38, 3, True), (0, 37, 7, False), (0, 1, None, True)], key=str)
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 

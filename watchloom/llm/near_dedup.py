@@ -7,29 +7,37 @@ Method
    minima) and one key per band of ``rows`` full minima.
 2. Documents with the same set are one class; its smallest doc_id stands for it.
    Only representatives go on, so thousands of copies cost one row.
-3. Candidates: in each band bucket every member meets four members of the
-   bucket, chosen by hash (never all pairs), and is paired with those four that it
-   meets in the most bands.  Pairs whose collision-corrected
-   similarity, estimated by counting equal b-bit cells with bit operations, is far
-   below the threshold go; of the others each member's two most similar ones are
-   confirmed on the full shingle sets of their texts.
+3. Candidates: in each band bucket every member meets one hub, the member that
+   stands for the most copies (in later turns the most by a hash), never all
+   others.  Pairs that meet in two bands or more and whose collision-corrected
+   similarity, estimated by counting equal b-bit cells with bit operations, is
+   not far below the threshold are confirmed on their full shingle sets, for
+   each member the two most similar ones.
 4. Confirmed links are closed to components by minimum-label propagation, and
-   step 3 is repeated between the components that remain, with other members.
-5. Buckets that still hold members of different components are searched in full
-   for pairs across components, the estimate being part of the join condition
-   and size classes part of its key, and confirmed as before.  Pairs inside one
-   component need no comparison, as they could not change the result.  So no
-   link between different texts is dropped and there is no cap on a bucket.
-
-A pair at the threshold 0.8 misses all 32 bands with probability
-``(1 - 0.8**4)**32 < 5e-8``.
+   step 3 is repeated between the components that remain, with other hubs.
+5. What buckets still hold of different components is searched exactly and
+   without pairing the members of a bucket: the shingles of these documents are
+   ordered by how few of them hold it, and a pair can only reach the threshold
+   if it shares a shingle among the first few of both (prefix filtering, with
+   the bound that the places of the shared shingle set).  In each shingle's list
+   the component with the most members is not paired with itself.  A straggler
+   with too many shingles of its own meets nobody, however large its group is.
+   Pairs inside one component need no comparison, as they could not change the
+   result.  So no link is dropped and there is no cap on a bucket.
+
+A pair at the threshold 0.8 misses all 42 bands with probability
+``(1 - 0.8**6)**42 < 3e-6``; one that meets in a band is found for certain.  The work of step 5 is
+quadratic only in a family of different texts that share rare shingles, are each
+just short of the threshold and belong to no common component.
 
 Defined results: null and empty texts have no shingles, are linked with nothing
 and are their own component; a text of fewer words than the shingle size has its
 whole word sequence as its only shingle.  Rows that repeat a doc_id are all
-returned and count as one node.  A null doc_id never becomes a component id; if
-a class has no other id, its component is null and it is kept.  Other columns of
-the input are not looked at, so clashing names do no harm.
+returned; if their texts differ, each row has the component of its own text.  A
+null doc_id never becomes a component id; a row without id has the component of
+the rows with an id and the same shingle set, and if there is none, its component
+is null and it is kept.  Other columns of the input are not looked at,
+so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -47,6 +55,12 @@ from watchloom.llm.textops import WordHashes, hash_functions, pieces, saved, shi
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary, bands array<long>"
 
 
+def set_identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set, as two signed numbers."""
+    x = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+
+
 def signature_batches(k: int, bands_: int, rows: int, bits: int, shingle: int, seed: int):
     """A mapInArrow function (doc_id, text) -> SIGNATURE_SCHEMA."""
 
@@ -78,8 +92,7 @@ def signature_batches(k: int, bands_: int, rows: int, bits: int, shingle: int, s
                     keys = ((keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands_, dtype=np.uint64)).view(np.int64)
                     for i, d in enumerate(full):
                         sig[d], bands[d] = packed[i].tobytes(), keys[i]
-                        x = xxhash.xxh3_128_intdigest(sets[d].tobytes())
-                        hi[d], lo[d] = (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+                        hi[d], lo[d] = set_identity(sets[d])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(size), pa.array(hi), pa.array(lo), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "set_hi", "set_lo", "sig", "bands"],
@@ -112,32 +125,26 @@ def similar_cells(a: str, b: str, k: int, bits: int) -> F.Column:
     return F.expr(f"((1 - ({differ}) / {float(k)}) - {2.0**-bits}) / {1 - 2.0**-bits}")
 
 
-def confirm_batches(shingle: int, percent: int):
-    """A mapInArrow function (a, b, text_a, text_b) -> (a, b) of pairs confirmed on their full sets."""
+def set_batches(shingle: int):
+    """A mapInArrow function (id, n, set_hi, text) -> (id, n, shingles) of the texts that have that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             for part in pieces(batch):
-                keep, memo = [], {}
-                for i, (x, y) in enumerate(zip(utf8(part.column(2)), utf8(part.column(3)), strict=True)):
-                    if y not in memo:
-                        memo = {y: shingle_set(words.of(y.lower().split()), shingle)}
-                    s, t = shingle_set(words.of(x.lower().split()), shingle), memo[y]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if both and 100 * both >= percent * (len(s) + len(t) - both):
-                        keep.append(i)
-                got = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], names=["a", "b"])
+                sets = [shingle_set(words.of(t.lower().split()), shingle) for t in utf8(part.column(3))]
+                own = [i for i, (s, hi) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if set_identity(s)[0] == hi]
+                got = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))], names=["id", "n", "shingles"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose whole texts have the similarity; two joins on doc_id, each may be split by AQE."""
-    t = texts.select(F.col("doc_id").alias("id"), "text")
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm_batches(shingle, percent), "a long, b long")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose full shingle sets have the similarity; two joins on the id, each may be split by AQE."""
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.expr(f"both > 0 and 100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,63 +172,86 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return saved(comp.join(roots.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = 256, bands: int = 32, rows: int = 4, bits: int = 4, slack: float = 0.13, rounds: int = 4, partners: int = 4, seed: int = 7) -> DataFrame:
+def prefix_pairs(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) across components among which are all pairs of sets(id, n, shingles) with the similarity.
+
+    A pair of n and m shingles needs an overlap of o = t / (1 + t) * (n + m).  Let
+    both sets be in one order, rare shingles first, and the first one that they
+    share be at places i and j (from 0): then o <= min(n - i, m - j).  As the sizes
+    are within the threshold of each other, i is less than n - t * n + 1.
+    """
+    t = percent / 100
+    flat = sets.select("id", "n", F.explode("shingles").alias("s"))
+    common = saved(flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    # shingles of one document only come first; the others by their number of documents
+    placed = flat.join(common, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    places = placed.select("id", "n", F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(0), F.size("o") - F.ceil(F.col("n") * t).cast("int") + 1))).alias("at", "x"), F.size("o").alias("k"))
+    lists = saved(places.select("id", "n", (F.col("n") - F.col("k") + F.col("at")).alias("p"), F.col("x.s").alias("s")).join(comp, "id"))
+    # the component with the most members of each list, if there is another one
+    sizes = lists.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"))
+    top = saved(sizes.groupBy("s").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("s", F.col("top.comp").alias("top")))
+    right = saved(lists.join(top, "s"))
+    left = right.where("comp <> top").select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("xa"))
+    right = right.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("xb"))
+    fits = F.expr(f"xa <> xb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)")
+    return left.join(right, "s").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = 256, bands: int = 42, rows: int = 6, bits: int = 4, slack: float = 0.13, rounds: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     percent: the least similarity; slack: how far below it an estimate may lie
-    for its pair to be confirmed exactly (five standard deviations at k=256);
-    rounds, partners: turns before the full search, and pairs of a member in one turn.
+    for a hub's pair to be confirmed (five standard deviations at k=256);
+    rounds: turns with hubs before the exact search.
     """
     least = percent / 100 - slack
-    sig = saved(signatures(docs, k, bands, rows, bits, shingle, seed))
-    full = sig.where("n_shingles > 0 and doc_id is not null")
-    rep = full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    # one signature row for each class: that of its smallest doc_id
+    sig = saved(signatures(docs, k, bands, rows, bits, shingle, seed).withColumn("row", F.monotonically_increasing_id()))
+    # (a written table, so that a set that very many rows have may be split by AQE in the join)
+    rep = saved(sig.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))).alias("rep"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and rep is not null"))
     member = sig.join(rep, ["set_hi", "set_lo"], "left")
-    nodes = saved(unpacked(member.where("doc_id = rep").dropDuplicates(["set_hi", "set_lo"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), k, bits))
-    keys = nodes.select("id", F.explode("bands").alias("band"))
+    member = member.select("doc_id", "n_shingles", "set_hi", "sig", "bands", F.coalesce("low", "doc_id").alias("low"), F.coalesce("copies", F.lit(1)).alias("copies"), F.expr("row = coalesce(rep, row)").alias("first"), F.coalesce("rep", F.expr("if(n_shingles > 0 and doc_id is not null, row, null)")).alias("id"))
+    # one row for each class, which its first row stands for
+    nodes = saved(member.where("first and id is not null"))
+    keys = nodes.select("id", "copies", F.explode("bands").alias("band"))
     bucket = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band")
     shared = saved(keys.join(bucket, "band"))  # members of buckets with more than one class
-    met = shared.select("id").distinct()
-    cells = saved(nodes.join(met, "id", "left_semi").select("id", "cells", "n_shingles", "bands"))
+    met = saved(shared.select("id").distinct())
+    cells = saved(unpacked(nodes.join(met, "id", "left_semi").select("id", "n_shingles", "sig"), k, bits))
     side = lambda x: cells.select(F.col("id").alias(x), F.col("cells").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"))
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    # the texts that may have to be compared, shuffled once and not in every turn
-    texts = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(met.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    # the sets that may have to be compared, made once, from the texts that stand for a class
+    standing = nodes.join(met, "id", "left_semi").select("doc_id", "id", F.col("n_shingles").alias("n"), "set_hi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sets = saved(texts.join(standing, "doc_id").select("id", "n", "set_hi", "text").mapInArrow(set_batches(shingle), "id long, n long, shingles array<long>").dropDuplicates(["id"]))
     comp = saved(met.select("id", F.col("id").alias("comp")))
     for turn in range(rounds):
-        # members against four members of their bucket, other ones each turn, if of another component
-        here = shared.join(comp, "id")
-        order = [F.struct(F.xxhash64(F.lit(f"{turn}{i}"), "comp", "id").alias("h"), F.col("id").alias("hub"), F.col("comp").alias("x")) for i in range(2)]
-        hubs = here.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *(f(o).alias(f"h{i}{j}") for i, o in enumerate(order) for j, f in enumerate((F.min, F.max)))).where("c0 < c1")
-        pairs = here.join(hubs, "band").select(F.col("id").alias("a"), "comp", F.explode(F.array_distinct(F.array("h00", "h01", "h10", "h11"))).alias("h")).where("comp <> h.x").groupBy("a", F.col("h.hub").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        # of at most four partners a band those that share the most bands; the full search below is for the rest
-        most_bands = F.sort_array(F.collect_list(F.struct("n", "b")), asc=False)
-        pairs = pairs.groupBy("a").agg(F.slice(most_bands, 1, partners).alias("p")).select("a", F.explode("p.b").alias("b"))
+        # members against the hub of their bucket, another one each turn, if of another component
+        here = saved(shared.join(comp, "id"))
+        weight = F.col("copies") if turn == 0 else F.lit(0)
+        hubs = saved(here.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct(weight.alias("w"), F.xxhash64(F.lit(turn), "comp", "id").alias("h"), F.col("id").alias("b"), F.col("comp").alias("x"))).alias("hub")).where("c0 < c1").select("band", "hub.b", "hub.x"))
+        pairs = here.join(hubs, "band").where("comp <> x").groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
         likely = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).withColumn("s", similar_cells("ca", "cb", k, bits)).where(F.col("s") >= least)
         # each member's most similar one, among those of even and of odd hash
         odd = F.pmod(F.xxhash64("b"), F.lit(2)) == 1
         best = likely.groupBy("a").agg(F.max_by("b", F.when(odd, F.struct("s", "b"))).alias("b0"), F.max_by("b", F.when(~odd, F.struct("s", "b"))).alias("b1"))
         best = best.select("a", F.explode(F.array("b0", "b1")).alias("b")).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = saved(confirmed(best, texts, shingle, percent).distinct())
+        links = saved(confirmed(best, sets, percent))
         if links.isEmpty():
             break
         comp = merged(comp, links)
-    # what the turns did not join: all pairs across components of one bucket
+    # what the turns did not join: members of buckets with more than one component, exactly
     here = shared.join(comp, "id")
-    open_ = here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-    rest = saved(here.join(open_, "band").join(cells, "id").withColumn("size", F.floor(F.log(F.col("n_shingles").cast("double")) / np.log(100 / percent) + 1e-9)))
-    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("xa"), F.col("cells").alias("ca"), F.col("n_shingles").alias("na"), F.col("bands").alias("ba"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("xb"), F.col("cells").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"), "size")
-    across = (F.col("xa") != F.col("xb")) & F.expr(sized) & (similar_cells("ca", "cb", k, bits) >= least)
-    # a pair is taken from the first of the bands that it shares
-    across = across & (F.col("band") == F.array_min(F.array_intersect("ba", "bb")))
-    more = left.join(right, ["band", "size"]).where(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    extra = saved(confirmed(more, texts, shingle, percent).distinct())
+    open_ = saved(here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band"))
+    rest = here.join(open_, "band", "left_semi").select("id").distinct()
+    extra = saved(confirmed(prefix_pairs(saved(sets.join(rest, "id", "left_semi")), comp, percent), sets, percent))
     if not extra.isEmpty():
         comp = merged(comp, extra)
-    out = member.select("doc_id", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    root = F.coalesce("comp", "rep", "doc_id")
+    # a component is named by the smallest doc_id of its classes
+    named = nodes.select("id", "low").join(comp, "id")
+    names = named.groupBy("comp").agg(F.min("low").alias("root"))
+    roots = saved(named.join(names, "comp").select("id", "root"))
+    out = member.select("doc_id", "n_shingles", "low", "id").join(roots, "id", "left")
+    root = F.coalesce("root", "low")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
 
 
