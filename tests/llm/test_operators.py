@@ -146,13 +146,15 @@ def test_packing_odd(odd, spark):
     assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
 
 
-def test_word_by_word_encoding_is_exact():
+def test_word_by_word_encoding_is_exact(rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
     texts = ["It's 2,000.50 <|endoftext|>x İstanbul ΣΣ naïve étude, \x1c a b c ... end., (x).", "DON'T stop\r\n\tno\x0bw <|startoftext|>", "", "你好 \U0001f600! ẞ"]
-    for got, text in zip(packing.word_ids(tokenizer_path())(texts), texts, strict=True):
-        assert list(got) == tok.encode(text, add_special_tokens=False).ids
+    texts.append(" ".join(dict.fromkeys(w for t in rows for w in (t.text or "").split())))
+    ids, ends = packing.word_ids(tokenizer_path())(texts)
+    for a, b, text in zip([0, *ends[:-1]], ends, texts, strict=True):
+        assert list(ids[a:b]) == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_plan_uses_exact_fills():

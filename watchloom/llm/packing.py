@@ -30,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm.textops import pieces, saved
 
-#: Words a worker remembers the ids of.
-REMEMBERED = 300_000
+#: Words a worker remembers the ids of (about 230 bytes each).
+REMEMBERED = 600_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,53 +52,77 @@ def plain_parts(word: str) -> int:
 
 
 def word_ids(path: str):
-    """text -> token ids.  Tokens never span white space, so words between blanks and line ends are encoded once and remembered.
+    """texts -> (token ids of all texts in a row, where each text's ids end).
 
-    New plain words are encoded together as one text and told apart by the tokens
-    that end a part; others one by one.
+    Tokens never span white space, so each distinct word between blanks and line
+    ends is encoded once and remembered; Arrow tells the distinct words of a batch.
+    New plain words are encoded many at a time, by the tokenizer's own model, and
+    told apart by the tokens that end a part; others one by one by all of its steps.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
     tok = Tokenizer.from_file(path)
+    # plain words need none of the normaliser and of the splitting pattern
+    ascii_words, latin_words = Tokenizer(tok.model), Tokenizer(tok.model)
+    ascii_words.pre_tokenizer = WhitespaceSplit()
+    latin_words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
     vocabulary = tok.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
     known: dict[str, bytes] = {"": b""}  # ids as little-endian 32-bit numbers
     marks = {m: np.array(tok.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,"}
 
-    def learn(words: list[str]) -> None:
-        parts = [plain_parts(w) for w in words]
-        stems = list({w if n == 1 else w[:-1] for w, n in zip(words, parts, strict=True) if n})
-        stems = [w for w in stems if w not in known]
-        for at in range(0, len(stems), 4096):
-            some = stems[at : at + 4096]
-            ids = np.array(tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+    def learn_plain(words: list[str], by: Tokenizer) -> None:
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(by.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             raw, a = ids.tobytes(), 0
             for w, b in zip(some, ((np.flatnonzero(ends[ids]) + 1) * 4).tolist(), strict=True):
                 known[w] = raw[a:b]
                 a = b
-        for w, n in zip(words, parts, strict=True):
-            if n == 2:
-                known[w] = known[w[:-1]] + marks[w[-1]]
-        rest = [w for w, n in zip(words, parts, strict=True) if not n]
+
+    def learn(words: list[str]) -> None:
+        plain, marked, rest = set(), [], []
+        for w in words:
+            n = plain_parts(w)
+            if n == 1:
+                plain.add(w)
+            elif n == 2:
+                marked.append(w)
+                if w[:-1] not in known:
+                    plain.add(w[:-1])
+            else:
+                rest.append(w)
+        learn_plain([w for w in plain if w.isascii()], ascii_words)
+        learn_plain([w for w in plain if not w.isascii()], latin_words)
+        for w in marked:
+            known[w] = known[w[:-1]] + marks[w[-1]]
         for at in range(0, len(rest), 1024):
             for w, e in zip(rest[at : at + 1024], tok.encode_batch_fast(rest[at : at + 1024], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 128):
-            # the tokenizer lower-cases each character by itself; only these two would differ
-            low = [t if "\u0130" in t or "\u03a3" in t or "<|" in t else t.lower() for t in texts[at : at + 128]]
-            split = [t.replace("\n", " ").split(" ") for t in low]
-            seen = set().union(*split)
-            new = [w for w in seen if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = [w for w in seen if w]
-            learn(new)
-            for words in split:
-                yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4").astype(np.uint32)
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # the tokenizer lower-cases each character by itself; only these two would differ
+        low = [(t if "\u0130" in t or "\u03a3" in t or "<|" in t else t.lower()).replace("\n", " ") for t in texts]
+        split = pc.split_pattern(pa.array(low, pa.large_string()), " ")
+        words = split.values.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+            new = [w for w in distinct if w]
+        learn(new)
+        got = [known[w] for w in distinct]
+        length = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        pool = np.frombuffer(b"".join(got), "<u4")
+        at = words.indices.to_numpy()
+        own = length[at]
+        upto = np.r_[0, np.cumsum(own)]
+        # each word's ids are a run of the pool
+        run = np.repeat((np.cumsum(length) - length)[at] - upto[:-1], own) + np.arange(upto[-1])
+        return pool[run], upto[split.offsets.to_numpy()][1:]
 
     return encode
 
@@ -109,16 +134,22 @@ def piece_batches(path: str, size: int, end: int, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = word_ids(path)
         for batch in batches:
-            for part in pieces(batch):
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    ids = np.append(ids, np.uint32(end))
-                    for p, a in enumerate(range(0, len(ids), size)):
-                        own = ids[a : a + size]
-                        rows.append((doc, p, a, len(own), zlib.crc32(own.astype("<u4").tobytes()), *([own.astype(np.int32)] if with_ids else [])))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for part in pieces(batch, 8 << 20, 4000):
+                ids, ends = encode([x or "" for x in part.column(1).to_pylist()])
+                ids = np.insert(ids, ends, np.uint32(end)).astype("<u4")
+                ends = ends + np.arange(1, len(ends) + 1)
+                first = np.r_[0, ends[:-1]]
+                pieces_of = -(-(ends - first) // size)
+                doc = np.repeat(np.arange(len(ends)), pieces_of)
+                p = np.arange(len(doc)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+                a = first[doc] + p * size
+                b = np.minimum(a + size, ends[doc])
+                crc = [zlib.crc32(ids[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                columns = [part.column(0).take(pa.array(doc)), pa.array(p, pa.int32()), pa.array(p * size), pa.array(b - a), pa.array(crc, pa.int64())]
+                if with_ids:
+                    # the pieces lie one after another
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, b], pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     return run
 
