@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -363,6 +364,29 @@ def test_wrapper_decides_within_articles():
     assert wrapper.extract(pages[3], *wrapper.induce(pages)) == "text 3 of the page\nand more 3"
 
 
+def test_broken_and_deep_pages(spark):
+    began = time.perf_counter()
+    story = "<p>the text {0}</p>"
+    pages = ["<a " * 50_000, "<a \"" * 50_000, "<!" * 50_000, "</a " * 50_000, "<div>" * 10_000 + story.format("deep"), "<body>" + story.format("unclosed") + "<div class='x", "x < y and <b>z</b>", "<!-- open " + story.format("never")]
+    got = [wrapper.extract(p) for p in pages]
+    assert got == ["", "", "", "", "the text deep", "the text unclosed", "x < y and z", ""]
+    for p in pages:
+        wrapper.induce([p, p + "<p>other</p>", p + "<p>third</p>"])
+    many = "<body><article>" + "".join(f"<p>line {i} of it</p>" for i in range(200_000)) + "</article></body>"
+    assert wrapper.extract(many).count("\n") == 199_999
+    assert time.perf_counter() - began < 60
+    # slots decide on deep pages too
+    deep = ["<body><div>About us</div>" + "<section>" * 3000 + f"<p>words {i} of page {i}</p><p>The same on all pages</p>" for i in range(5)]
+    rows = [(i, "http://h.example/x", p) for i, p in enumerate(deep)] + [(7, "http://h.example/x", None), (8, "http://h.example/x", deep[0]), (8, "http://h.example/x", deep[0])]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, text int")
+    out = sorted((r.page_id, r.text) for r in wrapper.main_texts(df.drop("text")).collect())
+    assert out == [*((i, f"words {i} of page {i}") for i in range(5)), (7, ""), (8, "words 0 of page 0"), (8, "words 0 of page 0")]
+
+
+def test_inline_adverts_are_cut_and_formulas_stay():
+    assert wrapper.extract("<body><article><p>a <span class='ad'>buy <span>x</span> y</span> b <math><mi>x</mi>=2</math> <b>c</b></p><p>d <span class=ad>open<p>e</p></article></body>") == "a b x=2 c\nd\ne"
+
+
 def test_template_of_rare_layouts(spark):
     page = "<body><div class='{0}'><div>This is layout {0}</div><p>story {1} of the page</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page.format(f"k{i % 9}", i)) for i in range(45)]

@@ -42,37 +42,52 @@ from watchloom.llm.textops import pieces, saved
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select option object canvas".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption dd dt head html legend li summary tbody td tfoot th thead tr figcaption".split())
-LEFT_OUT = frozenset("nav header footer aside form head script style noscript template iframe svg math select button object canvas menu dialog textarea title".split())
+LEFT_OUT = frozenset("nav header footer aside form head script style noscript template iframe svg select button object canvas menu dialog textarea title".split())
 #: Words in class, id or role by which a block says what it is.
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|sidebar|side-bar|widget|comments?|comment-list|respond|reply|replies|disqus|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|popup|modal|pagination|pager|toolbar|search|login|signup)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-IN_ARTICLE = re.compile(r"/(?:article|main)(?:[./]|$)")
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The same of inline elements, whose text is cut out of their block.
+INLINE_BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|share|sharing|newsletter|subscribe)(?:$|[\s_-])", re.I)
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 CONTENT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption article main".split())
 
 
 class Node:
-    """An element: tag, whether it names itself boilerplate, children (nodes) and the blocks of its own text."""
+    """An element: tag, whether it names itself boilerplate, children (nodes) and the blocks of its own text.
 
-    __slots__ = ("tag", "mark", "boiler", "items", "path")
+    path is a hash of the elements and their names from the root; article tells
+    whether one of them is an article or main element.
+    """
 
-    def __init__(self, tag: str, mark: str, boiler: bool, path: str):
-        self.tag, self.mark, self.boiler, self.items, self.path = tag, mark, boiler, [], path
+    __slots__ = ("tag", "mark", "boiler", "items", "path", "article")
+
+    def __init__(self, tag: str, mark: str, boiler: bool, above: Node | None):
+        self.tag, self.mark, self.boiler, self.items = tag, mark, boiler, []
+        self.path = text_key(above.path, f"{tag}.{mark.lower()}") if above else 0
+        self.article = bool(above and above.article) or tag in ("article", "main")
 
 
 def clean(pieces_: list[str]) -> str:
     return " ".join(htmllib.unescape("".join(pieces_)).split())
 
 
+def marks_of(attributes: str) -> str:
+    """Class, id and role of an element."""
+    return " ".join(a[1] or a[2] or a[3] for a in _ATTR.findall(attributes)) if "=" in attributes else ""
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; items are text blocks (str) and nodes in page order.  Inline markup is dropped."""
-    root = Node("#page", "", False, "")
+    root = Node("#page", "", False, None)
     stack, text, at = [root], [], 0
+    tag, mute, nested = _TAG, "", 0  # mute: name of the inline element whose text is cut out
 
     def flush() -> None:
         if text:
@@ -83,16 +98,41 @@ def parse(page: str) -> Node:
 
     n = len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            text.append(page[at:])
+        o = _OPEN.search(page, at)
+        if not mute:
+            text.append(page[at : o.start()] if o else page[at:])
+        if o is None:
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        at = o.start()
+        if page.startswith(("<!--", "<![CDATA["), at):
+            end = "-->" if page[at + 2] == "-" else "]]>"
+            close = page.find(end, at + 4)
+            at = close + 3 if close >= 0 else n
+            continue
+        if page[at + 1] in "!?":
+            close = page.find(">", at)
+            at = close + 1 if close >= 0 else n
             continue
+        m = tag.match(page, at)
+        if m is None and tag is _TAG and not page.startswith("</", at):
+            # a quote is open up to the page's end: from here on quotes don't count, so each place is read once
+            tag = _BARE_TAG
+            m = tag.match(page, at)
+        if m is None:
+            close = page.find(">", at)
+            at = close + 1 if close >= 0 else n
+            continue
+        at = m.end()
+        name = m[2].lower()
+        if mute:
+            if name in BLOCK or name == "button":
+                mute = ""
+            else:
+                nested += (name == mute) * (-1 if m[1] else 1)
+                if not nested:
+                    mute = ""
+                if name not in RAW:
+                    continue
         if m[1]:
             if name in BLOCK or name in ("button",):
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
@@ -116,6 +156,8 @@ def parse(page: str) -> Node:
             continue
         if name not in BLOCK and name != "button":
             # inline element: its text belongs to the block, unless it is an advert or the like
+            if not m[1] and "=" in m[3] and not m[3].endswith("/") and INLINE_BOILER.search(marks_of(m[3])):
+                mute, nested = name, 1
             continue
         flush()
         if name in CLOSES_P and stack[-1].tag == "p":
@@ -128,8 +170,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu") or (name in ("td", "th") and stack[i].tag == "tr"):
                     break
-        marks = " ".join(a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])) if m[3] and "=" in m[3] else ""
-        node = Node(name, marks, bool(marks and BOILER.search(marks)), f"{stack[-1].path}/{name}" + (f".{marks.lower()}" if marks else ""))
+        marks = marks_of(m[3])
+        node = Node(name, marks, bool(marks and BOILER.search(marks)), stack[-1])
         stack[-1].items.append(node)
         if not m[3].endswith("/"):
             stack.append(node)
@@ -168,7 +210,7 @@ def heed_names(root: Node) -> Node:
                 n.boiler = False
     for n in order:
         # a header, other than the site's own element, around the only h1
-        if n.boiler and heads[id(n)] == heads[id(root)] == 1 and HEADER.search(n.mark) and (n.tag != "header" or "/article" in n.path):
+        if n.boiler and heads[id(n)] == heads[id(root)] == 1 and HEADER.search(n.mark) and (n.tag != "header" or n.article):
             n.boiler = False
     return root
 
@@ -178,23 +220,22 @@ def own_text(node: Node) -> str:
 
 
 class Folded:
-    """A node for matching: like siblings (same tag and marks) are one node with all their texts."""
+    """A node for matching: like siblings (same tag and marks) are one node with all their texts.
 
-    __slots__ = ("key", "path", "texts", "kids")
+    What lies deeper than ``depth`` elements is matched as the texts of the node there.
+    """
 
-    def __init__(self, nodes: list[Node]):
-        self.key, self.path = (nodes[0].tag, nodes[0].mark), nodes[0].path
-        self.texts = [t for n in nodes if (t := own_text(n))]
-        runs: list[list[Node]] = []
-        for n in nodes:
+    __slots__ = ("key", "path", "article", "texts", "kids")
+
+    def __init__(self, nodes: list[Node], depth: int = 100):
+        self.key, self.path, self.article = (nodes[0].tag, nodes[0].mark), nodes[0].path, nodes[0].article
+        self.texts = [t for n in nodes for x in ((n,) if depth else walk(n)) if (t := own_text(x))]
+        runs: dict[tuple[str, str], list[Node]] = {}
+        for n in nodes if depth else ():
             for x in n.items:
                 if isinstance(x, Node):
-                    same = next((r for r in runs if (r[0].tag, r[0].mark) == (x.tag, x.mark)), None)
-                    if same is None:
-                        runs.append([x])
-                    else:
-                        same.append(x)
-        self.kids = [Folded(r) for r in runs]
+                    runs.setdefault((x.tag, x.mark), []).append(x)
+        self.kids = [Folded(r, depth - 1) for r in runs.values()]
 
 
 def tree_match(a: Folded, b: Folded, pairs: list[tuple[Folded, Folded]] | None = None) -> int:
@@ -222,17 +263,17 @@ def tree_match(a: Folded, b: Folded, pairs: list[tuple[Folded, Folded]] | None =
     return best[m][n] + 1
 
 
-def text_key(path: str, text: str) -> int:
+def text_key(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\x00{text}") - (1 << 63)
 
 
-def induce(pages: list[str], constant: float = 0.6) -> tuple[list[int], list[str]]:
+def induce(pages: list[str], constant: float = 0.6) -> tuple[list[int], list[int]]:
     """(hashes of template texts, paths of varying slots) of one host's pages."""
     trees = [Folded([parse(p)]) for p in dict.fromkeys(pages)]
     if len(trees) < 2:
         return [], []
     seen: dict[int, set[int]] = {}
-    slots: dict[str, int] = {}
+    slots: dict[int, int] = {}
     within: set[int] = set()  # texts of paragraphs and the like in an article: two pages may share one by chance
     for i in range(len(trees)):
         for j in range(i + 1, len(trees)):
@@ -243,7 +284,7 @@ def induce(pages: list[str], constant: float = 0.6) -> tuple[list[int], list[str
                 for t in both:
                     key = text_key(a.path, t)
                     seen.setdefault(key, set()).update((i, j))
-                    if a.key[0] in CONTENT_TAGS and IN_ARTICLE.search(a.path):
+                    if a.key[0] in CONTENT_TAGS and a.article:
                         within.add(key)
                 if len(both) < max(len(set(a.texts)), len(set(b.texts))):
                     slots[a.path] = slots.get(a.path, 0) + 1
@@ -251,7 +292,7 @@ def induce(pages: list[str], constant: float = 0.6) -> tuple[list[int], list[str
     return sorted(k for k, v in seen.items() if len(v) >= (max(least, 3) if k in within else least)), sorted(p for p, v in slots.items() if 3 * v >= len(trees))
 
 
-def blocks(node: Node, template: set[int], inside: bool, paths: set[str] | None = None) -> Iterator[str]:
+def blocks(node: Node, template: set[int], inside: bool, paths: set[int] | None = None) -> Iterator[str]:
     """Content blocks below a node in page order, of these paths if given; iterative, as pages may nest deeply."""
     stack = [iter(node.items)]
     where = [(node, inside)]
@@ -278,7 +319,16 @@ def walk(root: Node) -> Iterator[Node]:
         todo.extend(x for x in reversed(n.items) if isinstance(x, Node))
 
 
-def extract(page: str | None, template: list[int] | None = None, slots: list[str] | None = None) -> str:
+def slot_sizes(root: Node, template: set[int], paths: set[int]) -> dict[int, int]:
+    """Characters of the slots' blocks in and below each node, by its id."""
+    size: dict[int, int] = {}
+    for n in reversed(list(walk(root))):
+        own = n.path in paths and (not template or text_key(n.path, own_text(n)) not in template)
+        size[id(n)] = sum((len(x) if own else 0) if isinstance(x, str) else size[id(x)] * (x.tag not in LEFT_OUT and not x.boiler) for x in n.items)
+    return size
+
+
+def extract(page: str | None, template: list[int] | None = None, slots: list[int] | None = None) -> str:
     """The main text of one page, read with its host's wrapper if there is one."""
     if not page:
         return ""
@@ -303,9 +353,9 @@ def extract(page: str | None, template: list[int] | None = None, slots: list[str
         return text or "\n".join(b for n in found for b in blocks(n, set(), True))
     if size:
         # the smallest subtree that holds most of the text of the slots
-        best = root
+        best, below = root, slot_sizes(root, known, paths)
         while True:
-            kids = [(sum(len(b) for b in blocks(x, known, False, paths)), i, x) for i, x in enumerate(best.items) if isinstance(x, Node) and x.tag not in LEFT_OUT and not x.boiler and x.tag not in CONTENT_TAGS]
+            kids = [(below[id(x)], i, x) for i, x in enumerate(best.items) if isinstance(x, Node) and x.tag not in LEFT_OUT and not x.boiler and x.tag not in CONTENT_TAGS]
             top = max(kids, default=None)
             if top is None or top[0] < 0.7 * size:
                 break
@@ -338,9 +388,8 @@ def count_batches(most: int = 200_000):
                     seen = set()
                     for x in walk(parse(page)):
                         if text := own_text(x):
-                            path = text_key(x.path, "")
-                            seen.add((host, path, None, False))
-                            seen.add((host, path, text_key(x.path, text), x.tag in CONTENT_TAGS and bool(IN_ARTICLE.search(x.path))))
+                            seen.add((host, x.path, None, False))
+                            seen.add((host, x.path, text_key(x.path, text), x.tag in CONTENT_TAGS and x.article))
                     for key in seen:
                         n[key] = n.get(key, 0.0) + weight
                 if len(n) > most:
@@ -363,7 +412,7 @@ def templates(pages: DataFrame, constant: float = 0.6) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, sample: int = 6, constant: float = 0.6) -> DataFrame:
-    """(host, template array<long>, slots array<string>) for each host with two pages or more: template texts counted over all pages, slots from matched ones."""
+    """(host, template array<long>, slots array<long>) for each host with two pages or more: template texts counted over all pages, slots from matched ones."""
     ids = pages.where("host is not null and html is not null and page_id is not null").select("host", "page_id")
     picks = [F.min_by("page_id", F.xxhash64(F.lit(i), "page_id")).alias(f"p{i}") for i in range(sample)]
     chosen = ids.groupBy("host").agg(*picks).select("host", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(sample)]))).alias("page_id"))
@@ -372,10 +421,10 @@ def wrappers(pages: DataFrame, sample: int = 6, constant: float = 0.6) -> DataFr
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = table.sort_by("page_id")
         template, slots = induce(order.column("html").to_pylist(), constant)
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([template], pa.list_(pa.int64())), "slots": pa.array([slots], pa.list_(pa.string()))})
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([template], pa.list_(pa.int64())), "slots": pa.array([slots], pa.list_(pa.int64()))})
 
-    matched = rows.groupBy("host").applyInArrow(run, "host string, template array<long>, slots array<string>").drop("template")
-    got = matched.join(templates(pages, constant), "host", "full").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots"))
+    matched = rows.groupBy("host").applyInArrow(run, "host string, template array<long>, slots array<long>").drop("template")
+    got = matched.join(templates(pages, constant), "host", "full").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"))
     return got.where("size(template) + size(slots) > 0")
 
 
