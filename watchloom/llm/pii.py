@@ -4,12 +4,12 @@ Method
 ------
 One pattern finds candidates; each is validated by its kind: payment card (13 to
 19 digits, Luhn), US social security number (issued ranges), phone (``+1`` or
-``(ddd)`` form of ten digits, or another ``+`` number of 8 to 15), IPv4 address (octets), numeric IBAN
+``(ddd)`` form of ten digits, or another ``+`` number of 8 to 15), IPv4 address (octets without leading zeros), numeric IBAN
 (mod 97), date (real calendar day of 1800 to 2199) and e-mail address.  Numbers and
 dates are mapped to a point of ``Z_a x Z_b`` and permuted by an alternating Feistel
 network of eight keyed rounds (``L += F(R) mod a``, ``R += F(L) mod b``; F from
 SHA-256 of key, kind, format, round and the other half), which is a bijection for
-any two moduli; the result is written back into the format of the original:
+any two moduli (dates that can only be read day first are cycle-walked among themselves); the result is written back into the format of the original:
 separators stay, check digits are recomputed, dates stay dates.  So equal values
 get equal pseudonyms in every document, different ones different pseudonyms, and
 whoever has the key can invert them.  E-mail addresses are text: their parts become
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9\-][A-Za-z0-9.\-]*\.[A-Za-z]{2,}"  # one run for the domain: a repeated group would use the stack for each label
 IBAN = r"[A-Z]{2}\d{2}(?:\x20?\d{4}){2,6}(?:\x20?\d{1,4})?"
 DATE_ISO, DATE_DOT, DATE_SLASH = r"\d{4}-\d{2}-\d{2}", r"\d{2}\.\d{2}\.\d{4}", r"\d{2}/\d{2}/\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
@@ -118,7 +118,8 @@ def date_of(m: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a candidate that is valid, else null."""
     d = digits_of(m)
-    octets = F.transform(F.split(m, r"\."), lambda c: F.try_element_at(F.array(c), F.lit(1)).cast("int") <= 255)
+    # an octet with a leading zero may be meant as octal: no address
+    octets = F.transform(F.split(m, r"\."), lambda c: (c.cast("int") <= 255) & (c == c.cast("int").cast("string")))
     area, group, serial = m.substr(1, 3).cast("int"), m.substr(5, 2).cast("int"), m.substr(8, 4).cast("int")
     day = date_of(m)
     bare = F.regexp_replace(m, " ", "")
@@ -152,9 +153,14 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     ip = F.concat_ws(".", F.floor(p["l"] / 256).cast("string"), (p["l"] % 256).cast("string"), F.floor(p["r"] / 256).cast("string"), (p["r"] % 256).cast("string"))
     since = F.datediff(date_of(m), F.lit("1800-01-01").cast("date"))
     q = feistel(key, F.lit("date"), F.floor(since / DAY_B), since % DAY_B, F.lit(DAY_A), F.lit(DAY_B))
-    day = F.date_add(F.lit("1800-01-01").cast("date"), (q["l"] * DAY_B + q["r"]).cast("int"))
+    day_of = lambda s: F.date_add(F.lit("1800-01-01").cast("date"), (s["l"] * DAY_B + s["r"]).cast("int"))
+    day = day_of(q)
+    # with slashes the month is first, unless that can't be: such dates are permuted among themselves, as the
+    # permutation is repeated until the day can't be a month either
     day_first = m.substr(1, 2).cast("int") > 12
-    date = F.when(whole(m, DATE_ISO), F.date_format(day, "yyyy-MM-dd")).when(whole(m, DATE_DOT), F.date_format(day, "dd.MM.yyyy")).when(day_first, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    again = lambda s, i: F.when(F.dayofmonth(day_of(s)) > 12, s).otherwise(feistel(key, F.lit("date"), s["l"], s["r"], F.lit(DAY_A), F.lit(DAY_B)))
+    walked = day_of(F.aggregate(F.sequence(F.lit(1), F.lit(60)), q, again))
+    date = F.when(whole(m, DATE_ISO), F.date_format(day, "yyyy-MM-dd")).when(whole(m, DATE_DOT), F.date_format(day, "dd.MM.yyyy")).when(day_first, F.date_format(walked, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
     bare = F.regexp_replace(m, " ", "")
     bban = permuted_digits(key, "iban", bare.substr(F.lit(5), F.length(bare) - 4))
     check = F.lpad((98 - iban_remainder(bare.substr(1, 2), F.lit("00"), bban)).cast("string"), 2, "0")
