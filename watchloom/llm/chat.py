@@ -6,8 +6,10 @@ A turn's content is a list of typed parts: text, image, audio or document.  A
 visitor walks the parts in order; text is escaped, an attachment becomes an ordered
 placeholder ``<|image:1|>`` (numbered over the conversation), its reference, place
 and expanded token count are recorded.  Turns are marked by control strings.
-Inside texts (and roles) ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|``, so no
-text can forge a turn or a placeholder, and the escape is undone exactly.  The loss
+Inside texts (and roles) ``&`` becomes ``&amp;`` and ``<`` becomes ``&lt;``, so no
+text, nor several text parts in a row, can forge a turn or a placeholder, and the
+escape is undone exactly.  A part of another type than these becomes a placeholder
+``<|part:1|>`` that expands to no token unless it says so; its type is recorded.  The loss
 mask is a list of spans of the formatted string: the assistants' texts.
 
 Turns are formatted before the shuffle; the only grouping is by conversation, whose
@@ -22,7 +24,6 @@ columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 from watchloom.llm.textops import pieces
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens that an attachment expands to, if its part doesn't say: an amount, or one for each so many units of its size.
+#: Tokens that an attachment expands to, if its part says neither their number nor its size.
 EXPANSION = {"image": 576, "audio": 50, "document": 512}
+#: Units of a part's size (pixels, milliseconds, characters) for one token.
+UNITS = {"image": 784, "audio": 40, "document": 4}
 FORMATTED_SCHEMA = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:int,end:int>>, attachments array<struct<placeholder:string,type:string,ref:string,turn:long,place:int,n_tokens:long>>, expanded_tokens long"
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
-PART_KEYS = {"type", "text", "ref", "n_tokens"}
 
 
 class Attachment(NamedTuple):
@@ -52,11 +54,11 @@ class Attachment(NamedTuple):
 
 
 def escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<|", "&lt;|")
+    return text.replace("&", "&amp;").replace("<", "&lt;")
 
 
 def unescape(text: str) -> str:
-    return text.replace("&lt;|", "<|").replace("&amp;", "&")
+    return text.replace("&lt;", "<").replace("&amp;", "&")
 
 
 def escape_role(role: str) -> str:
@@ -75,23 +77,28 @@ class Visitor:
         self.numbers: dict[str, int] = {}
 
     def visit(self, part: dict, turn: int | None, at: int) -> str:
-        return getattr(self, f"visit_{part['type']}", self.visit_unknown)(part, turn, at)
+        kind = part.get("type")
+        return getattr(self, f"visit_{kind}" if kind in ("text", *EXPANSION) else "visit_unknown")(part, turn, at)
 
     def visit_text(self, part: dict, turn: int | None, at: int) -> str:
         return escape(part.get("text") or "")
 
     def attach(self, part: dict, turn: int | None, at: int) -> str:
-        kind = part["type"]
-        self.numbers[kind] = self.numbers.get(kind, 0) + 1
-        mark = f"<|{kind}:{self.numbers[kind]}|>"
-        n = part.get("n_tokens")
-        self.attachments.append(Attachment(mark, kind, part.get("ref"), turn, at, EXPANSION[kind] if n is None else int(n)))
+        kind, n, size = part["type"], part.get("n_tokens"), part.get("size")
+        if n is None:
+            n = EXPANSION[kind] if size is None else -(-int(size) // UNITS[kind])
+        return self.record(kind, kind, part, turn, at, int(n))
+
+    def record(self, name: str, kind: str, part: dict, turn: int | None, at: int, n: int) -> str:
+        self.numbers[name] = self.numbers.get(name, 0) + 1
+        mark = f"<|{name}:{self.numbers[name]}|>"
+        self.attachments.append(Attachment(mark, kind, part.get("ref"), turn, at, n))
         return mark
 
     visit_image = visit_audio = visit_document = attach
 
     def visit_unknown(self, part: dict, turn: int | None, at: int) -> str:
-        raise ValueError(f"unknown part type: {part['type']}")
+        return self.record("part", part.get("type") or "", part, turn, at, int(part.get("n_tokens") or 0))
 
 
 def format_turns(turns: list[tuple[int | None, str, list[dict]]]) -> tuple[str, list[tuple[int, int]], list[Attachment]]:
@@ -129,7 +136,7 @@ def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for part in pieces(batch):
             rows = []
             for turns in part.column(1).to_pylist():
-                text, spans, att = format_turns([(t["turn"], t["role"], t["parts"]) for t in turns])
+                text, spans, att = format_turns([(t["turn"], t["role"], [p for p in t["parts"] or () if p is not None]) for t in turns])
                 rows.append((len(turns), text, [{"start": a, "end": b} for a, b in spans], [a._asdict() for a in att], sum(a.n_tokens for a in att)))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["conv_id", "n_turns", "formatted", "loss_spans", "attachments", "expanded_tokens"])
 
@@ -159,11 +166,10 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "loss_spans", F.size("attachments").cast("long").alias("n"), "expanded_tokens").mapInArrow(read_batches, READ_SCHEMA)
 
 
-def parts_from_json(text: str) -> list[dict]:
-    """Parts of a JSON list such as chat interfaces use; plain text is one text part."""
-    try:
-        got = json.loads(text)
-    except ValueError:
-        got = None
-    ok = isinstance(got, list) and all(isinstance(x, dict) and x.keys() <= PART_KEYS and "type" in x for x in got)
-    return got if ok else [{"type": "text", "text": text}]
+def json_parts(column: str) -> F.Column:
+    """Parts of a JSON list such as chat interfaces use; text that is no such list is one text part."""
+    kind = "array<struct<type:string,text:string,ref:string,n_tokens:long,size:long>>"
+    got = F.from_json(F.col(column), kind)
+    plain = F.array(F.struct(F.lit("text").alias("type"), F.coalesce(F.col(column), F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("size")))
+    parts = F.ltrim(column).startswith("[") & got.isNotNull() & F.forall(got, lambda x: x["type"].isNotNull())
+    return F.when(parts, got).otherwise(plain)
