@@ -7,7 +7,9 @@ Then every unbroken string of ``least_chars`` or more that mixes letters and
 digits and has a sensitive word within ``reach`` characters before it is a
 candidate.  Its novelty is its *marginal* compressed size: the zstandard frame of
 (surrounding code + candidate) less the frame of the surrounding code alone, with
-a compression dictionary primed by identifiers.  Paths, versions and identifiers
+a compression dictionary primed by identifiers: those of configuration at large and
+the ``words`` most frequent ones (letters, stops and underscores only, so no secret)
+that stand within ``reach`` of a sensitive word, counted over all documents.  Paths, versions and identifiers
 compress well against both; random strings don't.  Candidates whose marginal bytes
 reach ``novelty`` a character, and whose characters carry enough entropy of their
 own, are reported as kind ``novel`` unless they overlap a pattern span.
@@ -42,6 +44,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Sensitive words of the novelty rule, lower case.
 SENSITIVE = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"credential", b"private_key", b"bearer", b"authorization", b"auth_key", b"access_key", b"client_id", b"passphrase", b"signature")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/=-])[A-Za-z_.]{4,40}(?![A-Za-z0-9+/=-])")
+_SENSITIVE = re.compile("|".join(x.decode() for x in SENSITIVE), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What identifiers and configuration look like, to prime the compressor.
 IDENTIFIERS = """access_key_id secret_access_key client_secret client_id api_key apiKey auth_token authToken bearer authorization
@@ -75,8 +79,9 @@ def base_spans(text: str, low: bytes, raw: bytes) -> list[tuple[int, int, str]]:
 class Novelty:
     """Marginal compressed size of candidates."""
 
-    def __init__(self, least_chars: int = 16, reach: int = 64, novelty: float = 0.62, least_entropy: float = 3.0):
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, least_chars: int = 16, reach: int = 64, novelty: float = 0.62, least_entropy: float = 3.0, identifiers: list[str] | None = None):
+        # the most frequent ones last, where they are cheapest to refer to
+        primed = zstandard.ZstdCompressionDict("\n".join([*reversed(identifiers or []), IDENTIFIERS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.zstd = zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_checksum=False)
         self.least_chars, self.reach, self.novelty, self.least_entropy = least_chars, reach, novelty, least_entropy
 
@@ -112,11 +117,36 @@ def scan(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, str]], list[
     return found, more
 
 
-def secrets(docs: DataFrame, novelty: float = 0.62, reach: int = 64, least_chars: int = 16) -> DataFrame:
-    """SECRET_SCHEMA for every row: all spans by start, counts by kind, digest of the base spans.  One pass, no shuffle."""
+def identifiers(docs: DataFrame, reach: int = 64, words: int = 2000) -> list[str]:
+    """The identifiers that stand near sensitive words most often, in all documents; at most ``words`` reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Novelty(least_chars, reach, novelty)
+        for batch in batches:
+            for part in pieces(batch):
+                n: Counter = Counter()
+                for text in part.column(0).to_pylist():
+                    low = (text or "").lower().encode("utf-8", "replace")
+                    if any(k in low for k in SENSITIVE):
+                        done = 0
+                        for m in _SENSITIVE.finditer(text):
+                            a, b = max(done, m.start() - reach), m.end() + reach
+                            n.update(x[0] for x in IDENTIFIER.finditer(text, a, b))
+                            done = max(done, b)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r[0] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()]
+
+
+def secrets(docs: DataFrame, novelty: float = 0.62, reach: int = 64, least_chars: int = 16, words: int = 2000) -> DataFrame:
+    """SECRET_SCHEMA for every row: all spans by start, counts by kind, digest of the base spans.
+
+    One pass for the identifiers, one for the spans; no text is shuffled.
+    """
+    known = identifiers(docs, reach, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Novelty(least_chars, reach, novelty, identifiers=known)
         for batch in batches:
             for part in pieces(batch):
                 rows = []
