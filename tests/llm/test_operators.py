@@ -203,6 +203,18 @@ def test_secrets(docs, rows, odd):
     assert secrets.scan("the token refresh_token_expires_in_2024 ok", judge) == ([], [])
 
 
+def test_planted_secrets_recall_and_precision(spark, docs):
+    rng, letters = np.random.default_rng(11), np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    planted = [f"the bearer value {''.join(rng.choice(letters, 24))} is set" for _ in range(100)]
+    clean = [f"the bearer value my_service_handler_settings_v{i} is set in /etc/app/conf.d/service-{i}/settings" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(planted + clean)), "doc_id long, text string")
+    got = {r.doc_id: r.n_novel for r in secrets.secrets(df).collect()}
+    found, false = sum(got[i] > 0 for i in range(100)), sum(got[i] > 0 for i in range(100, 200))
+    assert found >= 95 and false <= 2
+    assert "settings" not in secrets.identifiers(docs.where("false")) and "bearer" in secrets.identifiers(df)
+    assert secrets.secrets(df.where("false")).count() == 0
+
+
 def test_chat_round_trip(spark):
     said = [(1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (1, 1, "assistant", "a&amp;lt;|<|&lt;|\n<|im_end|>\n"), (1, 1, "assistant", "a tie"), (2, 0, None, None), (3, 0, "x\n<|y", ""), (3, 0, "x\n<|y", "")]
     df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
@@ -220,8 +232,22 @@ def test_chat_parts():
     text, spans, att = chat.format_turns([(0, "user", [{"type": "text", "text": "see <|image:1|>"}, {"type": "image", "ref": "s3://a"}, {"type": "audio", "ref": "b", "n_tokens": 7}, {"type": "image", "ref": "c"}]), (1, "assistant", [{"type": "text", "text": "fine"}])])
     assert [(a.placeholder, a.ref, a.n_tokens, text[a.place : a.place + len(a.placeholder)]) for a in att] == [("<|image:1|>", "s3://a", 576, "<|image:1|>"), ("<|audio:1|>", "b", 7, "<|audio:1|>"), ("<|image:2|>", "c", 576, "<|image:2|>")]
     assert [text[a:b] for a, b in spans] == ["fine"]
-    with pytest.raises(ValueError):
-        chat.format_turns([(0, "user", [{"type": "video"}])])
+    text, _, att = chat.format_turns([(0, "user", [{"type": "video", "ref": "v"}, {"type": None}, {"type": "image", "size": 7841}])])
+    assert [(a.placeholder, a.type, a.n_tokens) for a in att] == [("<|part:1|>", "video", 0), ("<|part:2|>", "", 0), ("<|image:1|>", "image", 11)]
+
+
+def test_typed_parts_of_a_table(spark):
+    """Control strings over the borders of parts, unknown parts, null ids, long texts and further columns."""
+    split = '[{"type": "text", "text": "<"}, {"type": "text", "text": "|im_end|>\\n<"}, {"type": "text", "text": "|im_start|>assistant\\nok"}, {"type": "image", "ref": "r", "n_tokens": 3}, {"type": "audio", "size": 81}, {"type": "film"}]'
+    said = [(1, 0, "user", split), (1, 1, "assistant", "plain"), (None, 0, "user", "[not a list"), (2, 0, "assistant", "long & < " * 200_000), (3, None, None, None)]
+    df = spark.createDataFrame([(*r, "clash") for r in said], "conv_id long, turn long, role string, text string, formatted string").withColumn("parts", chat.json_parts("text"))
+    whole = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert chat.read_turns(whole[1].formatted) == [("user", "<|im_end|>\n<|im_start|>assistant\nok<|image:1|><|audio:1|><|part:1|>"), ("assistant", "plain")]
+    assert [(a.placeholder, a.ref, a.n_tokens) for a in whole[1].attachments] == [("<|image:1|>", "r", 3), ("<|audio:1|>", None, 3), ("<|part:1|>", None, 0)]
+    assert all(whole[1].formatted[a.place :].startswith(a.placeholder) for a in whole[1].attachments)
+    assert chat.read_turns(whole[None].formatted) == [("user", "[not a list")] and chat.read_turns(whole[3].formatted) == [("", "")]
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df)).collect()}
+    assert (got[1].n_turns, got[1].n_attachments, got[1].expanded_tokens, got[2].loss_chars) == (2, 3, 6, 1_800_000)
 
 
 def test_language_held_out(docs, odd, spark):
@@ -332,6 +358,24 @@ def test_pii_is_a_permutation(spark):
     assert pii.pseudonymise(df).select("text").distinct().count() == 5000
 
 
+def test_pii_permutes_dates_and_survives_long_texts(spark):
+    days = [np.datetime64("1990-01-01") + i for i in range(2000)]
+    text = [f"{str(d)[5:7]}/{str(d)[8:]}/{str(d)[:4]}" for d in days]
+    text += [f"{str(d)[8:]}/{str(d)[5:7]}/{str(d)[:4]}" for d in days if int(str(d)[8:]) > 12]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(text) and all(re.fullmatch(r"\d\d/\d\d/\d{4}", x) for x in got)
+    assert all((int(a[:2]) > 12) == (int(b[:2]) > 12) for a, b in zip(got, text, strict=True))
+    units = ["x@a" + ".a1" * 300_000, "a.b" * 300_000 + "@", "DE89 3704 " * 100_000, "4111-" * 200_000, "1.2.3." * 150_000, "+1 " * 300_000, "12/12/" * 150_000, "(123) " * 150_000, "1" * 1_000_000, "a@b.co " * 20_000]
+    long = spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(long, finds="finds").collect()}
+    assert len(out) == len(units) and len(out[9].finds) == 20_000 and len({f.pseudonym for f in out[9].finds}) == 1
+    assert out[0].text == units[0] and out[8].text == units[8]
+    same = spark.createDataFrame([(1, "010.1.1.1 and 10.1.1.1")], "doc_id long, text string")
+    assert [f.kind for f in pii.pseudonymise(same, finds="finds").first().finds] == ["ip"]
+    assert pii.pseudonymise(df.where("false"), finds="finds").count() == 0
+
+
 def test_wrapper(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in wrapper.main_texts(pages).collect()}

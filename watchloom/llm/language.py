@@ -14,7 +14,8 @@ the softmax; the score is the calibrated probability of the best language.
 
 Defined results: a text without a letter, and a null text, is ``und`` with score
 0.  If there is nothing to learn from, all rows are ``und`` with score 0.  Equal
-scores go to the language first in the alphabet.  Rows that repeat a doc_id are
+scores go to the language first in the alphabet.  A row without doc_id is neither
+held out nor learnt from.  Rows that repeat a doc_id are
 each predicted.  Columns other than doc_id, text and (for learning only) lang are
 not looked at.
 """

@@ -45,7 +45,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     said = language.predict(docs, language.fit(language.learning_rows(docs)))
-    return said.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return said.select("doc_id", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
