@@ -372,12 +372,12 @@ def conn_lines(spark, sf_dir) -> DataFrame:
 
 
 @query("""SELECT event_id AS raw_event_id, CASE WHEN event_id % 9 <> 1 THEN '10.0.0.' || (event_id % 200) END AS source_ip, CASE WHEN event_id % 70000 <= 65535 THEN (event_id % 70000)::INT END AS source_port, 'tcp' AS transport,
- (event_id % 7) * 1000000000 AS duration, CASE WHEN event_id % 5 <> 0 THEN event_id * 3 END AS bytes, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ENDPOINTS_REQUIRED' END AS error_code FROM events""")
+ (event_id % 7) * 1000000000 AS duration, CASE WHEN event_id % 5 <> 0 THEN event_id * 3 END AS bytes, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' END AS error_code FROM events""")
 def n03_conn(spark, sf_dir):
     return I.normalize_conn(conn_lines(spark, sf_dir)).select("raw_event_id", "source_ip", "source_port", "transport", "duration", "bytes", "error_code")
 
 
-@query("""SELECT 'quar:' || sha256('quarantine-v1|' || event_id || '|' || c) AS quarantine_id, event_id AS raw_event_id, 'UIM' AS stage, c AS code, c AS reason FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ENDPOINTS_REQUIRED' END AS c FROM events) WHERE c IS NOT NULL""")
+@query("""SELECT 'quar:' || sha256('quarantine-v1|' || event_id || '|' || c) AS quarantine_id, event_id AS raw_event_id, 'UIM' AS stage, c AS code, c AS reason FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' END AS c FROM events) WHERE c IS NOT NULL""")
 def n12_quarantine(spark, sf_dir):
     return I.to_quarantine(I.normalize_conn(conn_lines(spark, sf_dir)))
 
@@ -396,7 +396,7 @@ def n04_dns(spark, sf_dir):
     return I.normalize_dns(table(spark, sf_dir, "events").select("event_id", F.to_json(rec).alias("payload"))).select("event_id", "question", "response_code", "error_code")
 
 
-@query("""SELECT code, domain, outcome, count(*) AS n FROM (SELECT c AS code, CASE c WHEN '4625' THEN 'authentication' WHEN '4768' THEN 'authentication' WHEN '4720' THEN 'identity' END AS domain,
+@query("""SELECT code, domain, outcome, count(*) AS n FROM (SELECT c AS code, CASE c WHEN '4625' THEN 'authentication' WHEN '4768' THEN 'authentication' WHEN '4720' THEN 'iam' END AS domain,
  CASE c WHEN '4625' THEN 'failure' WHEN '4768' THEN CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'failure' END WHEN '4720' THEN 'success' END AS outcome FROM (SELECT event_id, ['4625', '4768', '4720', '9999'][event_id % 4 + 1] AS c FROM events)) GROUP BY ALL""")
 def n08_windows_semantics(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, ("4625", "4768", "4720", "9999"))), (F.col("event_id") % 4 + 1).cast("int")).alias("code"), F.when(F.col("event_id") % 2 == 0, "0x0").otherwise("0x6").alias("status"))

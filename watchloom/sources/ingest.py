@@ -7,17 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.functions.values import first_failing, piped_id
-
-# Windows security event ids -> domain, category, action, outcome, type.
-WINDOWS = [
-    ("4624", "authentication", "logon", "success"), ("4625", "authentication", "logon", "failure"), ("4634", "authentication", "logoff", "success"),
-    ("4647", "authentication", "logoff", "success"), ("4648", "authentication", "explicit_credentials", "success"), ("4672", "authentication", "special_privileges", "success"),
-    ("4768", "authentication", "kerberos_tgt", None), ("4769", "authentication", "kerberos_service", None), ("4771", "authentication", "kerberos_preauth", "failure"),
-    ("4776", "authentication", "ntlm_validation", None), ("4720", "identity", "user_created", "success"), ("4722", "identity", "user_enabled", "success"),
-    ("4725", "identity", "user_disabled", "success"), ("4726", "identity", "user_deleted", "success"), ("4728", "identity", "group_member_added", "success"),
-    ("4729", "identity", "group_member_removed", "success"), ("4740", "identity", "user_locked", "success"), ("4688", "process", "process_started", "success"),
-]
+from watchloom.functions.values import first_failing, piped_id, stable_id
+from watchloom.sources.standard import PAYLOAD, WINDOWS_EVENTS, is_ip, text, whole
 
 
 def read_raw(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
@@ -33,18 +24,17 @@ def read_log_files(spark, path: str, most: int = 1 << 20) -> DataFrame:
 
 
 def normalize_conn(df: DataFrame, j: str = "payload") -> DataFrame:
-    """Network connections: endpoints, transport, duration in ns, bytes and packets as sums of whole numbers."""
-    get = lambda p: F.get_json_object(j, f"$.{p}")
-    either = lambda a, b: F.coalesce(*(F.nullif(x, F.lit("")) for x in (get(a), F.get_json_object(j, b), get(a.removeprefix("id.")))))
-    port = lambda c: F.when(c.try_cast("int").between(0, 65535), c.try_cast("int"))
-    whole = lambda c: F.when(c.rlike(r"^\d+$"), c.try_cast("long"))
-    src, dst = either("id.orig_h", "$['id.orig_h']"), either("id.resp_h", "$['id.resp_h']")
-    time = get("ts").try_cast("double")
+    """Network connections: endpoints, transport, duration in ns, bytes and packets as sums of whole numbers.  The payload is parsed once."""
+    x = df.withColumn("_body", F.from_json(j, PAYLOAD, {"columnNameOfCorruptRecord": "_bad"}))
+    get = lambda k: text(F.col(f"_body.`{k}`"))
+    either = lambda k: F.coalesce(get(f"id.{k}"), text(F.col(f"_body.id.{k}")), get(k))
+    port = lambda c: F.when(whole(c) <= 65535, whole(c).cast("int"))
+    src, dst, time = either("orig_h"), either("resp_h"), get("ts").try_cast("double")
     both = lambda a, b: F.try_add(whole(get(a)), whole(get(b)))
-    code = first_failing((time.isNotNull(), "UIM_EVENT_TIME_INVALID"), (src.isNotNull() & dst.isNotNull() & src.rlike("[.:]") & dst.rlike("[.:]"), "UIM_ENDPOINTS_REQUIRED"))
-    return df.select(
+    code = first_failing((time.isNotNull(), "UIM_EVENT_TIME_INVALID"), (is_ip(src) & is_ip(dst), "UIM_ZEEK_ENDPOINTS_REQUIRED"))
+    return x.select(
         *df.columns, F.timestamp_micros((time * 1_000_000).cast("long")).alias("event_time"), src.alias("source_ip"), dst.alias("destination_ip"),
-        port(either("id.orig_p", "$['id.orig_p']")).alias("source_port"), port(either("id.resp_p", "$['id.resp_p']")).alias("destination_port"),
+        port(either("orig_p")).alias("source_port"), port(either("resp_p")).alias("destination_port"),
         F.lower(get("proto")).alias("transport"), F.lower(get("service")).alias("protocol"), (get("duration").try_cast("double") * 1e9).cast("long").alias("duration"),
         both("orig_bytes", "resp_bytes").alias("bytes"), both("orig_pkts", "resp_pkts").alias("packets"), code.alias("error_code"),
     )
@@ -68,7 +58,7 @@ def normalize_tls(df: DataFrame, j: str = "payload") -> DataFrame:
 
 def join_windows_semantics(df: DataFrame, code: str = "code", status: str = "status") -> DataFrame:
     """Domain, action and outcome by event id; Kerberos and NTLM outcomes come from the status.  The table is fixed, so it is sent to the tasks."""
-    table = df.sparkSession.createDataFrame(WINDOWS, f"{code} string, domain string, action string, outcome string")
+    table = df.sparkSession.createDataFrame([(e[0], e[1], e[3], e[4]) for e in WINDOWS_EVENTS], f"{code} string, domain string, action string, outcome string")
     x = df.join(F.broadcast(table), code, "left")
     told = F.when(F.col(status).isin("0x0", "0"), "success").otherwise("failure")
     return x.withColumn("outcome", F.when(F.col(code).isin("4768", "4769", "4776"), told).otherwise(F.col("outcome"))).withColumn("error_code", F.when(F.col("domain").isNull(), "EVENT_UNSUPPORTED"))
@@ -129,16 +119,131 @@ def prunable(jobs: DataFrame, links: DataFrame, held: DataFrame, now: str, days:
     return old.join(links.join(held, "case_id").select("job_id").distinct(), "job_id", "left_anti")
 
 
+def new_events(df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """df(event_id, domain, ts, ...) with day and outcome: created, duplicate (same content) or conflict (another content under the id).
+
+    Against stored events of the same days only; of several rows with one id the first by content is created.
+    """
+    names = sorted(c for c in df.columns if c != "event_id")
+    x = df.withColumn("day", F.to_date("ts")).withColumn("hash", F.sha2(F.to_json(F.struct(*names)), 256))
+    first = F.first("hash").over(Window.partitionBy("event_id").orderBy("hash"))
+    x = x.withColumn("_own", first).withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy("hash")))
+    if stored is not None:
+        days = x.select("day").distinct()
+        there = stored.join(F.broadcast(days), "day", "left_semi").select("event_id", F.col("hash").alias("_there"))
+        x = x.join(there, "event_id", "left")
+    else:
+        x = x.withColumn("_there", F.lit(None).cast("string"))
+    outcome = F.when(F.col("hash") != F.coalesce("_there", "_own"), "conflict").when(F.col("_there").isNotNull() | (F.col("_n") > 1), "duplicate").otherwise("created")
+    return x.withColumn("outcome_", outcome).drop("_own", "_n", "_there")
+
+
 def write_events(df: DataFrame, path: str) -> None:
-    """New events only, by domain and UTC day; what is there already stays."""
-    spark = df.sparkSession
+    """New events only, by domain and UTC day; what is there already stays.  One writer at a time."""
+    from pyspark.errors import AnalysisException
+
     try:
-        there = spark.read.parquet(path).select("event_id")
-        df = df.join(there, "event_id", "left_anti")
-    except Exception as e:  # noqa: BLE001  the first write finds no table
-        if "PATH_NOT_FOUND" not in str(e):
+        stored = df.sparkSession.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    df.dropDuplicates(["event_id"]).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("domain", "day").parquet(path)
+        stored = None
+    new_events(df, stored).where("outcome_ = 'created'").drop("outcome_").write.mode("append").partitionBy("domain", "day").parquet(path)
+
+
+def write_quarantine(df: DataFrame, path: str) -> None:
+    """Quarantine rows by UTC day; a row whose identity is there already stays as it is."""
+    from pyspark.errors import AnalysisException
+
+    new = df.dropDuplicates(["quarantine_id"]).withColumn("day", F.to_date("occurred_at"))
+    try:
+        new = new.join(df.sparkSession.read.parquet(path).select("quarantine_id"), "quarantine_id", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").partitionBy("day").parquet(path)
+
+
+def to_dead_letters(df: DataFrame, stage: str, code: str, reason: str) -> DataFrame:
+    """References to rows(topic, partition, offset, key, value, object_id, ...) that failed: coordinates and digest, never the payload."""
+    return df.select(
+        F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("letter_key"), F.lit("1.0.0").alias("contract_version"), F.struct("topic", "partition", "offset", "key").alias("source"),
+        F.struct(F.lit(stage).alias("stage"), F.col(code).alias("code"), F.left(F.col(reason), F.lit(512)).alias("message"), F.lit(False).alias("retryable")).alias("failure"), F.col("object_id"), F.sha2(F.col("value").cast("binary"), 256).alias("payload_hash"),
+    )
+
+
+def validate_shipped(df: DataFrame, j: str = "value", most: int = 1 << 20) -> DataFrame:
+    """df with error_code: the first admission rule that a shipped event breaks."""
+    at = F.from_json(j, "_bad string, `@timestamp` string, agent struct<type:string,version:string,id:string>, event struct<dataset:string>", {"columnNameOfCorruptRecord": "_bad"})
+    x = df.withColumn("_e", at)
+    size = lambda c, n: F.octet_length(c).between(1, n)
+    agent = F.col("_e.agent")
+    stamp = F.when(F.col("_e.`@timestamp`").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp("_e.`@timestamp`"))
+    code = first_failing(
+        (size(F.col(j), most), "EVENT_SIZE"), (F.col("_e").isNotNull() & F.col("_e._bad").isNull() & F.ltrim(j).startswith("{"), "EVENT_JSON_INVALID"), (stamp.isNotNull(), "EVENT_TIMESTAMP_INVALID"),
+        (agent["type"].isin("filebeat", "winlogbeat") & size(agent["version"], 64) & size(agent["id"], 128), "EVENT_AGENT_REQUIRED"), (size(F.col("_e.event.dataset"), 128), "EVENT_DATASET_REQUIRED"),
+    )
+    return x.withColumn("error_code", code).drop("_e")
+
+
+def with_source_position(df: DataFrame, j: str = "payload", delivery: str = "delivery_position") -> DataFrame:
+    """df with source_position: of a Windows record, else of a file by fingerprint or by device and inode, else where it was delivered."""
+    x = df.withColumn("_e", F.from_json(j, "`@timestamp` string, winlog struct<computer_name:string,channel:string,record_id:string>, log struct<offset:string,file:struct<device_id:string,inode:string,fingerprint:string>>"))
+    win, log = F.col("_e.winlog"), F.col("_e.log")
+    host, channel, record = text(win["computer_name"]), text(win["channel"]), win["record_id"]
+    stamp = F.when(F.col("_e.`@timestamp`").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp("_e.`@timestamp`"))
+    # whole seconds carry no fraction
+    printed = F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(stamp, ".SSSSSS"), "[.]?0*$", ""), F.lit("Z"))
+    hexed = lambda c: F.lower(F.hex(F.lower(c)))
+    fits = record.rlike(r"^\d+$") & stamp.isNotNull() & ~F.concat(host, channel).rlike(r"[\r\n]")
+    windows = F.when(fits, F.concat_ws(":", F.lit("winlogbeat-v1"), hexed(host), hexed(channel), record, printed))
+    device, inode, mark = text(log["file"]["device_id"]), text(log["file"]["inode"]), text(log["file"]["fingerprint"])
+    plain = lambda c: ~c.rlike(r"[:\r\n]")
+    cursor = F.when(log["offset"].rlike(r"^\d+$") & plain(F.concat(device, inode)), F.when(plain(mark), F.concat_ws(":", F.lit("filebeat-v2"), mark, log["offset"])).otherwise(F.concat_ws(":", F.lit("filebeat-v1"), device, inode, log["offset"])))
+    return x.withColumn("source_position", F.coalesce(F.when(win.isNotNull(), windows).otherwise(cursor), F.col(delivery))).drop("_e")
+
+
+# What a collector adds to a record is no part of its identity.
+COLLECTED = {"agent": {"ephemeral_id": None}, "event": {"created": None}, "log": {"file": {"path": None, "inode": None, "device_id": None}}}
+
+
+def object_text(j: str, path: str, drop: dict) -> Column:
+    """The JSON object at a path with sorted keys and without the dropped members; null if there is no object."""
+    members = F.expr(f"try_variant_get(try_parse_json(`{j}`), '{path}', 'map<string,variant>')")
+    kept = F.filter(F.array_sort(F.map_keys(members)), lambda k: ~k.isin([x for x, below in drop.items() if below is None]))
+
+    def value(k: Column) -> Column:
+        plain = F.coalesce(F.to_json(members[k]), F.lit("null"))
+        for name, below in drop.items():
+            if below is not None:
+                plain = F.when(k == name, F.coalesce(object_text(j, f"{path}.{name}", below), plain)).otherwise(plain)
+        return plain
+
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    return F.when(members.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda k: F.concat(quoted(k), F.lit(":"), value(k))), ","), F.lit("}")))
+
+
+def with_payload_hash(df: DataFrame, j: str = "payload") -> DataFrame:
+    """df with payload_hash: SHA-256 of the payload with sorted keys and without what the collector added; null if it is no JSON object.
+
+    Numbers are written in one form (1.50 as 1.5), so the digest is stable, though not that of the original literals.
+    """
+    return df.withColumn("payload_hash", F.sha2(object_text(j, "$", COLLECTED), 256))
+
+
+def validate_envelopes(df: DataFrame, organization: str, namespace: str) -> DataFrame:
+    """df with error_code: scope, lineage limits, payload, recomputed identity and payload hash of a raw envelope."""
+    short = lambda c, n, least=1: F.octet_length(F.coalesce(F.col(c), F.lit(""))).between(least, n)
+    lineage = short("source_instance_id", 128) & F.col("source_context_id").rlike("^ctx_[0-9a-f]{32}$") & short("source_position", 512) & short("delivery_position", 512, 0) & short("source_epoch", 128) & short("vendor_name", 128)
+    lineage = lineage & short("vendor_product", 128) & short("vendor_dataset", 128) & short("release_id", 128) & F.col("received_at").isNotNull()
+    wanted = stable_id("raw", "raw-v1", *[F.col(c) for c in ("organization_id", "source_instance_id", "vendor_dataset", "source_epoch", "source_position")])
+    x = with_payload_hash(df.withColumnRenamed("payload_hash", "_claimed"))
+    code = first_failing(
+        ((F.col("schema_version") == "1.0.0") & (F.col("organization_id") == organization) & (F.col("namespace") == namespace), "ENVELOPE_SCOPE_MISMATCH"),
+        (F.col("organization_id").rlike("^[A-Za-z0-9_-]{1,64}$") & F.col("namespace").rlike("^[A-Za-z0-9_-]{1,64}$") & lineage, "ENVELOPE_LINEAGE_INVALID"), (short("payload", 1 << 20) & F.col("payload_hash").isNotNull() & (F.col("encoding") == "json"), "ENVELOPE_PAYLOAD_INVALID"),
+        (F.col("raw_event_id") == wanted, "ENVELOPE_ID_MISMATCH"), (F.col("_claimed") == F.col("payload_hash"), "ENVELOPE_HASH_MISMATCH"),
+    )
+    return x.withColumn("error_code", code).drop("payload_hash").withColumnRenamed("_claimed", "payload_hash")
 
 
 def prune_receipts(df: DataFrame, time: str, now: str, days: int = 2) -> DataFrame:
