@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ MAX_GROUPS, MAX_ROWS, MAX_TOP = 10_000, 1000, 100
 def scope(df: DataFrame, time: str, start: str, end: str, **equal) -> DataFrame:
     """Rows of a time range, both ends included, at most 31 days, with the given fields equal."""
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    days = df.sparkSession.range(1).select(F.datediff(last, first)).first()[0]
-    if days is None or days < 0 or days > 31:
+    days = (date.fromisoformat(end[:10]) - date.fromisoformat(start[:10])).days
+    if days < 0 or days > 31:
         raise ValueError("the range must be of 0 to 31 days")
     out = df.where(F.col(time).between(first, last))
     for k, v in equal.items():
@@ -20,6 +22,39 @@ def scope(df: DataFrame, time: str, start: str, end: str, **equal) -> DataFrame:
     return out
 
 
+def fields(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns only."""
+    return df.select(*names)
+
+
+def sort(df: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
+    """Rows by keys (column, ascending), missing values last."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys])
+
+
+def head(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows, 1 to 1000."""
+    if not 1 <= n <= MAX_ROWS:
+        raise ValueError("head takes 1 to 1000 rows")
+    return df.limit(n)
+
+
+def keyset(keys: list[tuple[str, bool]], cursor: tuple) -> Column:
+    """Rows after the cursor in the order of keys (column, ascending); no key may be missing."""
+    test, same = F.lit(False), F.lit(True)
+    for (c, up), v in zip(keys, cursor, strict=True):
+        beyond = F.col(c) > F.lit(v) if up else F.col(c) < F.lit(v)
+        test, same = test | (same & beyond), same & (F.col(c) == F.lit(v))
+    return test
+
+
+def with_quality_status(df: DataFrame, status: str, declared: tuple[str, ...] = ("qualified", "partial")) -> DataFrame:
+    """Rows of a declared quality."""
+    if status not in declared:
+        raise ValueError(f"quality must be one of {', '.join(declared)}")
+    return df.where(F.col("quality") == status)
+
+
 def events_page(df: DataFrame, time: str, key: str, limit: int = 100, after: tuple | None = None) -> DataFrame:
     """Newest first, ties by key; after is the last row's (time, key) of the page before."""
     if not 1 <= limit <= MAX_ROWS:
