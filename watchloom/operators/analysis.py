@@ -46,7 +46,8 @@ def with_entity_watermark(df: DataFrame, arrival: str, lateness: str = "10 minut
 
 def split_retention(df: DataFrame, keep: str, by: str = "entity_id") -> DataFrame:
     """Adds backfill: the row is older than the entity's latest event less what is kept."""
-    return df.withColumn("backfill", F.col("ts") < F.max("ts").over(Window.partitionBy(by)) - F.expr(f"interval {keep}"))
+    last = df.groupBy(by).agg(F.max("ts").alias("_last"))
+    return df.join(last, by, "left").withColumn("backfill", F.col("ts") < F.col("_last") - F.expr(f"interval {keep}")).drop("_last")
 
 
 def closed_windows(features: DataFrame, watermark: Column) -> DataFrame:
@@ -104,16 +105,27 @@ def evaluate_baseline(model: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def failure_then_success(df: DataFrame, n: int, lookback: str, size: str) -> DataFrame:
-    """The first success of each (entity, window) with n failures in the lookback before it, in (ts, id) order."""
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    w = Window.partitionBy("entity_id").orderBy(seconds).rangeBetween(-_seconds(lookback), 0)
-    bad = F.collect_list(F.when(F.col("outcome") == "failure", F.struct("ts", "event_id"))).over(w)
-    x = df.where(F.col("outcome").isin("failure", "success")).withColumn("_bad", bad).where("outcome = 'success'")
-    x = x.withColumn("_bad", F.filter("_bad", lambda f: (f["ts"] < F.col("ts")) | ((f["ts"] == F.col("ts")) & (f["event_id"] < F.col("event_id"))))).where(F.size("_bad") >= n)
+    """The first success of each (entity, window) with n failures in the lookback before it, in (ts, id) order.
+
+    The failures are counted first; they are fetched as evidence only for the
+    successes that are findings.
+    """
+    at = F.col("ts").cast("timestamp").cast("double")
+    failed = F.when(F.col("outcome") == "failure", 1)
+    ranged = Window.partitionBy("entity_id").orderBy(at).rangeBetween(-_seconds(lookback), 0)
+    # a range holds all failures of the row's own time, those with a greater id too
+    after = Window.partitionBy("entity_id", at).orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    x = df.where(F.col("outcome").isin("failure", "success"))
+    x = x.withColumn("failures", F.count(failed).over(ranged) - F.count(failed).over(after)).where(F.col("outcome") == "success").where(F.col("failures") >= n)
     x = x.withColumn("window_start", F.window("ts", size).start)
     first = F.row_number().over(Window.partitionBy("entity_id", "window_start").orderBy("ts", "event_id"))
-    evidence = F.concat(F.transform(F.array_sort("_bad"), lambda f: f["event_id"]), F.array("event_id"))
-    return x.withColumn("_n", first).where("_n = 1").select("entity_id", "window_start", F.col("ts").alias("at"), F.size("_bad").cast("long").alias("failures"), evidence.alias("evidence"))
+    found = x.withColumn("_n", first).where("_n = 1").select("entity_id", "window_start", F.col("ts").alias("at"), "event_id", "failures")
+    bad = df.where("outcome = 'failure'").select("entity_id", "ts", F.col("event_id").alias("bad_id"))
+    before = (F.col("ts") < F.col("at")) | ((F.col("ts") == F.col("at")) & (F.col("bad_id") < F.col("event_id")))
+    within = at >= F.col("at").cast("timestamp").cast("double") - _seconds(lookback)
+    near = found.join(bad, "entity_id").where(before & within).groupBy("entity_id", "window_start", "at", "event_id", "failures").agg(F.array_sort(F.collect_list(F.struct("ts", "bad_id"))).alias("_bad"))
+    evidence = F.concat(F.transform("_bad", lambda f: f["bad_id"]), F.array("event_id"))
+    return near.select("entity_id", "window_start", "at", "failures", evidence.alias("evidence"))
 
 
 def _seconds(interval: str) -> int:

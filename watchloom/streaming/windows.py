@@ -19,7 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset (one machine)."""
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = there.get() if there.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="watchloom-", dir=os.environ.get("WATCHLOOM_TMP"))
+    base = there.get() if there.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="watchloom-", dir=os.environ.get("WATCHLOOM_TMP"))
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
