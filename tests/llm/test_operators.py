@@ -291,10 +291,28 @@ def test_mixing(docs, rows):
 
 
 def test_mixing_probabilities_sum_to_one():
+    """Over all words of one byte and, for the rest, the bits of a first byte: each bit's two chances add up to one."""
     mixer = mixing.Mixer([np.zeros((1 << b, 2), np.float32) for b in (*mixing.SIZES, mixing.PREFIX_BITS)])
     mixer.train([b"abc", b"abd", b"xyz"] * 50, np.full(150, 5))
-    first = [10 ** mixer.score([b"a"])[0]]
-    assert 0 < first[0] < 1
+    flat = mixing.Bytes([bytes([i]) for i in range(256)])
+    chance, every = np.zeros(len(flat.b)), np.arange(len(flat.b))
+    for k in range(8):
+        bits, slots = flat.bit(k)
+        x, gate = mixer.inputs(slots, every, bits, k, None, None)
+        c0 = ((np.uint64(1 << k) | (flat.b >> np.uint64(8 - k))).astype(np.int64)) * 8 + k
+        p, _, _ = mixer.refine((x * mixer.weights[gate]).sum(axis=1), c0)
+        chance += np.log(np.where(bits == 1, p, 1 - p))
+    assert math.isclose(np.exp(chance[flat.starts]).sum(), 1, rel_tol=1e-9)
+    assert 10 ** mixer.score([b"abc"])[0] > 10 ** mixer.score([b"qqq"])[0]
+
+
+def test_no_word_is_lost_when_all_are_frequent(spark):
+    words = spark.createDataFrame([(b"a", 9, 9), (b"b", 9, 9), (b"c", 1, 1)], "word binary, n long, seen long")
+    assert mixing.hot_threshold(words, 2, top=8) == (8, 2) and mixing.hot_threshold(words, 1, top=8)[1] == 0
+    text = " ".join(["a b"] * 40 + ["c"])
+    docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
+    got = mixing.scores(docs, hot_words=1).collect()
+    assert all(r.n_known == r.n_tokens == 82 for r in got)
 
 
 def test_mixing_odd(odd, spark):
@@ -466,5 +484,22 @@ def test_pipeline(spark, docs, sf_dir):
     assert want and {r.doc_id for r in P.run(spark, sf_dir).select("doc_id").collect()} == want
 
 
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, sf_dir):
+    import corpus_pipeline as P
+
+    text = "the house of the old man is by the river and the children are playing in the garden with a small dog"
+    rows = [(1, text, "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0), (None, text + " today", "en", "s", 9), (5, text, "en", "s", 9), (5, text, "en", "s", 9), (6, "### 123", "en", "s", 7), (7, "words " * 50_000, "en", "s", 9)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, found string")
+    for empty in (False, True):
+        got = docs.where("false") if empty else docs
+        for _, stage in P.STAGES[:-1]:
+            got = stage(spark, got, sf_dir)
+            assert got.columns == docs.columns
+        kept = Counter(r.doc_id for r in got.collect())
+        # the copies are one, and so is the near copy without id
+        assert kept == (Counter() if empty else Counter({1: 1, 7: 1}))
+        assert P.packed(spark, got, sf_dir).count() >= len(kept)
+
+
 def test_every_operator_has_a_query():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11))

@@ -98,7 +98,11 @@ def shared_dir(spark: SparkSession) -> str:
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    conf = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="watchloom-", dir=os.environ.get("WATCHLOOM_TMP"))
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        conf = tempfile.mkdtemp(prefix="watchloom-", dir=os.environ.get("WATCHLOOM_TMP"))
     sc.setCheckpointDir(conf)
     return sc._jsc.sc().getCheckpointDir().get()
 
