@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from watchloom.llm.textops import pieces, saved
 
 #: Words a worker remembers the ids of (about 230 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
