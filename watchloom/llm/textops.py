@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's word cache may hold before it is emptied (about 100 B each).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -83,7 +83,12 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterable[pa.RecordBatch]:
-    """Slices of a batch of about most_bytes of its own buffers, so that a task's memory doesn't follow the batch."""
+    """Slices of a batch of about most_bytes of its own buffers, so that a task's memory doesn't follow the batch.
+
+    What Arrow keeps of earlier batches is given back first: workers outlive their
+    tasks and stages, and an executor has several of them.
+    """
+    pa.default_memory_pool().release_unused()
     n = batch.num_rows
     if not n:
         return
