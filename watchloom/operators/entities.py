@@ -93,3 +93,13 @@ def role_counts(attributions: DataFrame, start: str, end: str) -> DataFrame:
     t = F.col("ts")
     x = attributions.where((F.col("state") == "resolved") & (t >= F.lit(start).cast("timestamp")) & (t < F.lit(end).cast("timestamp")))
     return x.groupBy("entity_id", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+def single_entity_features(attributions: DataFrame, rel: DataFrame, start: str, end: str, ends: tuple[str, str] = ("source_id", "target_id")) -> DataFrame:
+    """Resolved attributions in [start, end) by role and in all, and the relations at the end, of either direction.
+
+    Entities without relations keep their counts; both sides are grouped before they meet.
+    """
+    roles = role_counts(attributions, start, end).groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("by_role"), F.sum("n").alias("resolved_total"))
+    held = relations_at(rel, end).select(F.explode(F.array_distinct(F.array(*ends))).alias("entity_id")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("relations"))
+    return roles.join(held, "entity_id", "left").withColumn("relations", F.coalesce("relations", F.lit(0)))
