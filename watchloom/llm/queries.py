@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm import chat, decontaminate, language, mixing, near_dedup, packing, pii, quality, secrets, wrapper
+from watchloom.llm import byte_bpe, chat, decontaminate, dialogue, language, mixing, near_dedup, packing, phrases, pii, quality, secrets, wrapper
 from watchloom.llm.textops import documents, id_remainder
 
 #: Formats conversation -1 too: a user and an assistant that both say control strings.
@@ -66,7 +66,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(documents(spark, sf_dir)).withColumn("spans", F.array_join(one, ","))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_near_dedup, op4_html, op5_chat, op6_language, op7_lm, op8_decontaminate, op9_pii, op10_secrets)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    both = byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = documents(spark, sf_dir, "conversations")
+    return dialogue.report(turns, dialogue.damaged(turns))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), least=30, percent=80, top=2000)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_near_dedup, op4_html, op5_chat, op6_language, op7_lm, op8_decontaminate, op9_pii, op10_secrets, op11_byte_bpe, op12_dialogue, op13_phrases)}
 
 ORACLE: dict[str, str] = {
     "op2_quality": r"""
