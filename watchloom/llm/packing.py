@@ -12,14 +12,16 @@ Method
    exactly, the largest piece that fits (best fit) is put in and the new gap is
    looked up again; what no piece fits stays open.  Each step uses up at least one
    length, so there are at most ``size`` patterns.
-3. A pattern claims ranks of a length's pieces.  The pieces are ranked within
-   (length, salt) by windows and shifted by the counts of earlier salts, so that a
-   length that a third of all pieces share is not one task's work, and each finds
-   its sequence and offset in the pattern table (at most 64 x ``size`` rows, sent
-   to the tasks).
+3. A pattern claims ranks of a length's pieces.  The task that makes a piece numbers
+   it among its pieces of that length; the counts of the tasks before shift these
+   numbers to ranks, so no piece is shuffled or sorted, with or without its ids, and
+   a length that a third of all pieces share is no task's work alone.  Each piece
+   finds its sequence and offset in the pattern table (at most 64 x ``size`` rows,
+   sent to the tasks).  The table of shifts, a row for each task and length, is
+   sent to the tasks up to ``SENT_ROWS`` rows; beyond, it is joined by a shuffle.
 
 Defined results: null and empty texts are the end id alone (length 1).  Rows that
-repeat a doc_id are packed as documents of their own.  An empty table gives no
+repeat a doc_id, or have none, are packed as documents of their own.  An empty table gives no
 rows.  Further columns are not looked at.
 """
 
@@ -38,7 +40,9 @@ from watchloom.llm.textops import pieces, saved
 
 #: Words a worker remembers the ids of (about 230 bytes each).
 REMEMBERED = 400_000
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Rows of the table of shifts that are sent to the tasks (about 24 bytes each).
+SENT_ROWS = 250_000
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def plain_parts(word: str) -> int:
@@ -131,8 +135,11 @@ def piece_batches(path: str, size: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = word_ids(path)
+        part_id, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             for part in pieces(batch, 8 << 20, 4000):
                 ids, ends = encode([x or "" for x in part.column(1).to_pylist()])
@@ -145,11 +152,18 @@ def piece_batches(path: str, size: int, end: int, with_ids: bool):
                 a = first[doc] + p * size
                 b = np.minimum(a + size, ends[doc])
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                columns = [part.column(0).take(pa.array(doc)), pa.array(p, pa.int32()), pa.array(p * size), pa.array(b - a), pa.array(crc, pa.int64())]
+                # a piece's number among those of its length in this task
+                length = b - a
+                by_length = np.argsort(length, kind="stable")
+                many = np.bincount(length, minlength=size + 1)
+                nth = np.empty(len(length), np.int64)
+                nth[by_length] = seen[length[by_length]] + np.arange(len(length)) - (np.cumsum(many) - many)[length[by_length]]
+                seen += many
+                columns = [part.column(0).take(pa.array(doc)), pa.array(p, pa.int32()), pa.array(p * size), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(length), part_id, np.int32)), pa.array(nth)]
                 if with_ids:
                     # the pieces lie one after another
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, b], pa.int32()), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])])
 
     return run
 
@@ -232,24 +246,24 @@ def plan(histogram: dict[int, int], size: int) -> tuple[list[tuple[int, int, int
     return claims, sequences
 
 
-def ranked(rows: DataFrame, salts: int) -> DataFrame:
-    """rows with rank, from 0, within their length: windows over (length, salt) and shifts by the salts' counts."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    per = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    return salted.withColumn("place", F.row_number().over(inside) - 1).join(shift, ["length", "salt"]).withColumn("rank", F.col("place") + F.col("shift")).drop("salt", "place", "shift")
+def ranked(rows: DataFrame, counts: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """rows(part, length, nth, ...) with rank, from 0, within their length; counts(part, length, n) are those of rows."""
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    if counts.count() <= sent_rows:
+        shift = F.broadcast(shift)
+    return rows.join(shift, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("shift")).drop("shift")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: int = 0, with_ids: bool = False, salts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: int = 0, with_ids: bool = False, sent_rows: int = SENT_ROWS) -> DataFrame:
     """Pieces with sequence_id and offset; no sequence holds more than size tokens, offsets are gapless from 0."""
     spark: SparkSession = docs.sparkSession
     rows = saved(token_pieces(docs, tokenizer_path, size, end, with_ids))
-    histogram = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
+    counts = saved(rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     claims, _ = plan(histogram, size)
     table = spark.createDataFrame(claims, "length long, first long, ranks long, seq long, per long, at long")
     full = (F.col("length") == F.col("c_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks"))
-    got = ranked(rows, salts).join(F.broadcast(table.withColumnRenamed("length", "c_length")), full)
+    got = ranked(rows, counts, sent_rows).join(F.broadcast(table.withColumnRenamed("length", "c_length")), full)
     own = F.col("rank") - F.col("first")
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.floor(own / F.col("per"))).alias("sequence_id"), (F.col("at") + own % F.col("per") * F.col("length")).alias("offset"), *(["ids"] if with_ids else []))
