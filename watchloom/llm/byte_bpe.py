@@ -41,8 +41,10 @@ from watchloom.llm.textops import pieces, utf8
 #: The character of byte 0; the others follow.
 BASE = 0x100
 #: Pre-tokens that a worker remembers (about 200 bytes each), and the longest of them in characters.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 _MAPPED = {b: BASE + b for b in range(256)}
+#: Bytes of texts that are cut into pre-tokens at a time; these are Python strings of some 60 bytes each.
+SLICE = 1 << 20
 
 
 def varint(n: int) -> bytes:
@@ -97,12 +99,13 @@ def serialised(tokens: list[bytes]) -> bytes:
 
 @lru_cache(maxsize=4)
 def model(path: str):
-    """(processor, tokens in rank order, token -> its id as bytes); made once a worker."""
+    """(processor, the bytes of each id as its piece says, token -> its id as bytes); made once a worker."""
     from sentencepiece import SentencePieceProcessor
 
     tokens = read_ranks(path)
     processor = SentencePieceProcessor(model_proto=serialised(tokens))
-    return processor, tokens, {mapped(t): struct.pack("<I", i) for i, t in enumerate(tokens)}
+    back = [unmapped(processor.id_to_piece(i)) for i in range(1, processor.get_piece_size())]
+    return processor, back, {mapped(t): struct.pack("<I", i) for i, t in enumerate(tokens)}
 
 
 class Encoder:
@@ -147,7 +150,7 @@ def encode_batches(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, SLICE):
                 ids = encoder.encode([x or "" for x in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -156,10 +159,9 @@ def encode_batches(path: str, pattern: str):
 
 def decode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor, _, _ = model(path)
-        token = [unmapped(processor.id_to_piece(i)) for i in range(1, processor.get_piece_size())]
+        _, token, _ = model(path)
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, SLICE):
                 texts = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in utf8(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc_id", "bytes"])
 
