@@ -8,8 +8,9 @@ Method
    holds a *container* (a hash table of whole keys) for each run of ids at its
    depth.  A container that outgrows ``BURST`` bursts: its run is halved, and a
    single id's container becomes a node one word deeper.  When the task's tries
-   hold more than ``BUDGET`` keys, the largest subtrees below the root are spilled
-   whole, each as a run sorted by phrase.
+   hold more than ``BUDGET`` keys, the subtrees below the root whose phrases are the
+   rarest are spilled whole, each as runs sorted by phrase.  Words by themselves
+   are counted at the root, in an array by id.
 3. The runs of all tasks lie in a table of the shared folder and are merged by
    prefix partition: a range partition of (language, phrase) holds all phrases
    between two prefixes, so equal phrases meet and a prefix that very many phrases
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from watchloom.llm.textops import pieces, saved, utf8, window_hashes
 
 #: Keys of a container before it bursts, of a task's tries before subtrees are spilled, and words that a task remembers.
-BURST, BUDGET, WORDS = 1 << 14, 250_000, 200_000
+BURST, BUDGET, WORDS = 1 << 15, 600_000, 250_000
 #: Bits of a filter: 16 for each item, within these bounds (at most 32 MB).
 LEAST_BITS, FILTER_BITS = 1 << 16, 1 << 28
 #: A filter travels in blocks of this many bits.
@@ -56,13 +57,24 @@ RUN_SCHEMA = "lang string, phrase string, n long"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 
 
+def as_keys(rows: np.ndarray) -> list:
+    """Rows of big-endian ids as the keys of a container: numbers for two ids, bytes for more."""
+    return rows.view(">u8").ravel().tolist() if rows.shape[1] == 2 else rows.view(f"V{4 * rows.shape[1]}").ravel().tolist()
+
+
+def as_rows(container: dict, k: int) -> np.ndarray:
+    """The keys of a container as rows of ids."""
+    flat = np.fromiter(container, np.uint64, len(container)).astype(">u8").view(">u4") if k == 2 else np.frombuffer(b"".join(container), ">u4")
+    return flat.reshape(-1, k).astype(np.int64)
+
+
 class Trie:
-    """Counts of keys of ``k`` word ids: a node at some depth, with a container or a deeper node for each run of ids."""
+    """Counts of keys of ``k`` word ids, two at least: a node at some depth, with a container or a deeper node for each run of ids."""
 
-    def __init__(self, k: int, depth: int = 0, first: dict[bytes, int] | None = None):
+    def __init__(self, k: int, depth: int = 0, first: dict | None = None):
         self.k, self.depth = k, depth
         self.low: list[int] = [0]  # the least id of each child's run
-        self.kids: list[dict[bytes, int] | Trie] = [{} if first is None else first]
+        self.kids: list[dict | Trie] = [{} if first is None else first]
 
     def add(self, keys: np.ndarray) -> None:
         """Counts the rows of keys, big-endian ids of shape (n, k)."""
@@ -78,7 +90,7 @@ class Trie:
             if isinstance(kid, Trie):
                 kid.add(raw[a:b])
             else:
-                _count_elements(kid, raw[a:b].view(f"V{4 * self.k}").ravel().tolist())
+                _count_elements(kid, as_keys(raw[a:b]))
                 if len(kid) > BURST:
                     grown.append(i)
         for i in reversed(grown):
@@ -89,8 +101,7 @@ class Trie:
         kid = self.kids[i]
         if len(kid) <= BURST:
             return
-        at = 4 * self.depth
-        ids = np.frombuffer(b"".join(kid), ">u4").reshape(-1, self.k)[:, self.depth].astype(np.int64)
+        ids = as_rows(kid, self.k)[:, self.depth]
         least, most = int(ids.min()), int(ids.max())
         if least == most:
             if self.depth + 1 < self.k:
@@ -98,10 +109,10 @@ class Trie:
                 deeper.burst(0)
             return
         middle = max(least + 1, int(np.median(ids)))
-        mark = middle.to_bytes(4, "big")
-        low = {key: n for key, n in kid.items() if key[at : at + 4] < mark}
-        high = {key: n for key, n in kid.items() if key[at : at + 4] >= mark}
-        self.kids[i : i + 1] = [low, high]
+        parts: tuple[dict, dict] = ({}, {})
+        for (key, n), upper in zip(kid.items(), (ids >= middle).tolist(), strict=True):
+            parts[upper][key] = n
+        self.kids[i : i + 1] = parts
         self.low.insert(i + 1, middle)
         self.burst(i + 1)
         self.burst(i)
@@ -109,7 +120,7 @@ class Trie:
     def __len__(self) -> int:
         return sum(map(len, self.kids))
 
-    def containers(self) -> Iterator[dict[bytes, int]]:
+    def containers(self) -> Iterator[dict]:
         for kid in self.kids:
             if isinstance(kid, Trie):
                 yield from kid.containers()
@@ -117,16 +128,39 @@ class Trie:
                 yield kid
 
     def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Takes out whole subtrees of the root, the largest first, until at most ``keep`` keys stay: (keys, counts) of each."""
+        """Takes out whole subtrees of the root, those of the rarest phrases first, until at most ``keep`` keys stay: (keys, counts)."""
         left = len(self)
-        for i in sorted(range(len(self.kids)), key=lambda i: -len(self.kids[i])):
+        under = [list(kid.containers()) if isinstance(kid, Trie) else [kid] for kid in self.kids]
+        mean = [sum(sum(c.values()) for c in cs) / max(1, sum(map(len, cs))) for cs in under] if keep else [0] * len(under)
+        for i in sorted(range(len(self.kids)), key=mean.__getitem__):
             if left <= keep:
                 return
-            kid, self.kids[i] = self.kids[i], {}
-            for c in kid.containers() if isinstance(kid, Trie) else [kid]:
+            self.kids[i] = {}
+            for c in under[i]:
                 left -= len(c)
                 if c:
-                    yield np.frombuffer(b"".join(c), ">u4").reshape(-1, self.k).astype(np.int64), np.fromiter(c.values(), np.int64, len(c))
+                    yield as_rows(c, self.k), np.fromiter(c.values(), np.int64, len(c))
+
+
+class WordCounts:
+    """Counts of single words, by id, as a trie of one word gives them."""
+
+    def __init__(self) -> None:
+        self.n = np.zeros(1 << 12, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        got = np.bincount(keys[:, 0])
+        if len(got) > len(self.n):
+            self.n = np.r_[self.n, np.zeros(max(len(self.n), len(got) - len(self.n)), np.int64)]
+        self.n[: len(got)] += got
+
+    def __len__(self) -> int:
+        return 0  # bounded by the vocabulary
+
+    def spill(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not keep and (ids := np.flatnonzero(self.n)).size:
+            yield ids.reshape(-1, 1), self.n[ids]
+            self.n[:] = 0
 
 
 class BitFilter:
@@ -134,6 +168,7 @@ class BitFilter:
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+        self.raw = bits.tobytes()
 
     @staticmethod
     def places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -145,8 +180,9 @@ class BitFilter:
         return (test(one) & test(two)).astype(bool)
 
     def holds_one(self, h: int) -> bool:
-        one, two = h & int(self.mask), (h >> 32) & int(self.mask)
-        return bool(self.bits[one >> 3] >> (one & 7) & 1 and self.bits[two >> 3] >> (two & 7) & 1)
+        mask = 8 * len(self.raw) - 1
+        one, two = h & mask, (h >> 32) & mask
+        return bool(self.raw[one >> 3] >> (one & 7) & 1 and self.raw[two >> 3] >> (two & 7) & 1)
 
 
 def word_hash(lang: bytes, word: bytes) -> int:
@@ -174,13 +210,11 @@ class Vocabulary:
         def __missing__(self, word: bytes) -> int:
             of, h = self.of, word_hash(self.lang, word)
             if of.frequent is not None and not of.frequent.holds_one(h):
-                value = 0
-            else:
-                value = len(of.words)
-                of.words.append(word)
-                of.langs.append(self.lang)
-                of.hashes.append(h)
-            self[word] = value
+                return 0
+            value = self[word] = len(of.words)
+            of.words.append(word)
+            of.langs.append(self.lang)
+            of.hashes.append(h)
             return value
 
     def remembered(self) -> int:
@@ -208,7 +242,7 @@ def runs_of(ids: np.ndarray, k: int, pairs: np.ndarray | None) -> np.ndarray:
         for j in range(k - 1):
             good &= pairs[j : j + n]
     at = np.flatnonzero(good)
-    return np.stack([ids[at + j] for j in range(k)], axis=1).astype(">u4")
+    return np.stack([ids[at + j] for j in range(k)], axis=1).astype(">u4" if k > 1 else np.int64)
 
 
 def count_batches(orders: tuple[int, ...], words, pairs):
@@ -217,7 +251,7 @@ def count_batches(orders: tuple[int, ...], words, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vocabulary(BitFilter(words.value) if words is not None else None)
         frequent_pairs = BitFilter(pairs.value) if pairs is not None else None
-        tries = {k: Trie(k) for k in orders}
+        tries = {k: Trie(k) if k > 1 else WordCounts() for k in orders}
 
         def rows(spilled: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             names, langs = pa.array(known.words, pa.binary()), pa.array(known.langs, pa.binary())
@@ -246,7 +280,7 @@ def count_batches(orders: tuple[int, ...], words, pairs):
                         yield from rows(trie.spill(0 if full else BUDGET // (2 * len(tries))))
                 if full:
                     known.clear()
-                    tries = {k: Trie(k) for k in orders}
+                    tries = {k: Trie(k) if k > 1 else WordCounts() for k in orders}
         for trie in tries.values():
             yield from rows(trie.spill(0))
 
