@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.operators.attribution import UNREGISTERED
 from watchloom.functions.values import first_failing, stable_id
 from watchloom.operators.search import keyset
 
@@ -44,7 +45,7 @@ def force_unresolved(df: DataFrame, registered: DataFrame, on: list[str]) -> Dat
     """df(state, entity_id, reason, ...) where a row whose space is not registered is unresolved, whatever was found."""
     x = df.join(registered.select(*on).distinct().withColumn("_known", F.lit(True)), on, "left")
     lost = F.col("_known").isNull()
-    return x.withColumn("state", F.when(lost, "unresolved").otherwise(F.col("state"))).withColumn("entity_id", F.when(~lost, F.col("entity_id"))).withColumn("reason", F.when(lost, "space_not_registered").otherwise(F.col("reason"))).drop("_known")
+    return x.withColumn("state", F.when(lost, "unresolved").otherwise(F.col("state"))).withColumn("entity_id", F.when(~lost, F.col("entity_id"))).withColumn("reason", F.when(lost, UNREGISTERED).otherwise(F.col("reason"))).drop("_known")
 
 
 def with_attribution_id(df: DataFrame, mapping_version: str) -> DataFrame:

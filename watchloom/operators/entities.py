@@ -57,26 +57,6 @@ def in_interval(t: Column, start: str = "valid_from", end: str = "valid_to") ->
     return (t >= F.col(start)) & (F.col(end).isNull() | (t < F.col(end)))
 
 
-def attribute(roles: DataFrame, entities: DataFrame, key: list[str], at: str) -> DataFrame:
-    """All candidates whose interval holds the event's time.
-
-    An equi-join on the identifier (sort-merge, split by AQE where a key is hot, or
-    broadcast if the entities are small); the time test is its residual.
-    """
-    return roles.join(entities, key).where(in_interval(F.col(at)))
-
-
-def adjudicate(roles: DataFrame, entities: DataFrame, key: list[str], role_key: list[str], at: str) -> DataFrame:
-    """State of each role: resolved by one candidate (1.0 strong, 0.8 weak), ambiguous by several, unresolved by none."""
-    c = roles.join(entities, key, "left").withColumn("hit", F.coalesce(in_interval(F.col(at)) & F.col("entity_id").isNotNull(), F.lit(False)))
-    hit = F.when(F.col("hit"), F.col("entity_id"))
-    g = c.groupBy(*role_key).agg(F.countDistinct(hit).alias("n"), F.min(hit).alias("entity"), F.max(F.when(F.col("hit"), F.col("strong"))).alias("any_strong"), F.min(F.when(F.col("hit"), F.col("strong"))).alias("all_strong"), F.count("entity_id").alias("known"))
-    state = F.when(F.col("n") == 0, "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
-    reason = F.when(F.col("n") > 1, F.when(F.col("any_strong") != F.col("all_strong"), "strong_weak_conflict").otherwise("multiple_candidates")).when(F.col("n") == 0, F.when(F.col("known") > 0, "outside_validity").otherwise("no_candidate"))
-    sure = F.when(F.col("n") == 1, F.when(F.col("any_strong"), 1.0).otherwise(0.8)).otherwise(0.0)
-    return g.select(*role_key, state.alias("state"), reason.alias("reason"), F.when(F.col("n") == 1, F.col("entity")).alias("entity_id"), sure.alias("confidence"), F.col("n").alias("candidates"))
-
-
 def overlapping(rel: DataFrame, key: list[str], row: list[str]) -> DataFrame:
     """Adds overlaps: an earlier interval of the same key is still open when this one starts.  One sort a key, no self-join."""
     end = F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp"))

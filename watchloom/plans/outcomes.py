@@ -82,7 +82,7 @@ def attributed(spark, sf_dir):
 _ATT = """attr AS (SELECT event_id, user_id, event_type, CASE event_id % 2 WHEN 0 THEN 'actor' ELSE 'host' END AS role, ['resolved', 'ambiguous', 'unresolved'][event_id % 3 + 1] AS state, CASE WHEN event_id % 3 = 0 THEN 'ent:' || user_id END AS entity_id, CASE WHEN event_id % 3 = 1 THEN 'multiple' END AS reason FROM events)"""
 
 
-@query(f"WITH {_ATT} SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'view' THEN 'unresolved' ELSE state END AS state, CASE WHEN event_type <> 'view' THEN entity_id END AS entity_id, CASE WHEN event_type = 'view' THEN 'space_not_registered' ELSE reason END AS reason FROM attr")
+@query(f"WITH {_ATT} SELECT event_id::VARCHAR AS event_id, CASE WHEN event_type = 'view' THEN 'unresolved' ELSE state END AS state, CASE WHEN event_type <> 'view' THEN entity_id END AS entity_id, CASE WHEN event_type = 'view' THEN 'identity_space_unregistered' ELSE reason END AS reason FROM attr")
 def e09_forced_unresolved(spark, sf_dir):
     x = attributed(spark, sf_dir)
     return C.force_unresolved(x, x.where("space <> 'view'"), ["space"]).select("event_id", "state", "entity_id", "reason")

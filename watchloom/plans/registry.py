@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import values as V
 from watchloom.operators import analysis as A
+from watchloom.operators import attribution as R
 from watchloom.operators import entities as E
 from watchloom.operators import merge as M
 from watchloom.operators import search as S
@@ -431,14 +432,14 @@ def probes(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {HOLD} SELECT o_orderkey, part, supp AS entity_id FROM pr JOIN h USING (part) WHERE at0 >= valid_from AND (valid_to IS NULL OR at0 < valid_to)")
 def j01_attribute(spark, sf_dir):
-    return E.attribute(probes(spark, sf_dir), holders(spark, sf_dir), ["part"], "at").select("o_orderkey", "part", "entity_id")
+    return R.interval_join(probes(spark, sf_dir), holders(spark, sf_dir), ["part"], "at").select("o_orderkey", "part", "entity_id")
 
 
 @query(f"""WITH {HOLD}, c AS (SELECT o_orderkey, supp, at0 >= valid_from AND (valid_to IS NULL OR at0 < valid_to) AS hit FROM pr LEFT JOIN h USING (part)),
 g AS (SELECT o_orderkey, count(DISTINCT supp) FILTER (hit) AS n, min(supp) FILTER (hit) AS s, count(supp) AS known FROM c GROUP BY o_orderkey)
-SELECT o_orderkey, CASE n WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN s END AS entity_id, CASE WHEN n = 1 THEN CASE WHEN s % 2 = 0 THEN 1.0 ELSE 0.8 END ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN n = 0 THEN CASE WHEN known > 0 THEN 'outside_validity' ELSE 'no_candidate' END END AS reason FROM g""")
+SELECT o_orderkey, CASE n WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN s END AS entity_id, CASE WHEN n = 1 THEN CASE WHEN s % 2 = 0 THEN 1.0 ELSE 0.8 END ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN n = 0 THEN CASE WHEN known > 0 THEN 'no_active_occurrence_at_event_time' ELSE 'no_matching_entity' END END AS reason FROM g""")
 def e08_adjudicate(spark, sf_dir):
-    x = E.adjudicate(probes(spark, sf_dir), holders(spark, sf_dir), ["part"], ["o_orderkey"], "at")
+    x = R.adjudicate(probes(spark, sf_dir), holders(spark, sf_dir), ["part"], ["o_orderkey"], "at")
     return x.select("o_orderkey", "state", "entity_id", "confidence", "reason")
 
 
