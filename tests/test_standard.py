@@ -35,7 +35,7 @@ def test_windows_roles(spark):
     both = windows(4648, SubjectUserName="a", TargetUserName="b", IpAddress="::FFFF:10.0.0.7")
     got = events_of(spark, ("microsoft", "w", group), ("microsoft", "w", both), ("microsoft", "w", windows(4624, IpAddress="nowhere")), ("microsoft", "w", windows(4662)), ("microsoft", "w", windows(4768, TargetUserName="k", Status="0x6")))
     assert (got[0].user.name, got[0].target.name, got[0].group.id) == ("admin", "new", "S-2")
-    assert (got[1].user.name, got[1].target.name, got[1].source_ip) == ("a", "b", "10.0.0.7")
+    assert (got[1].user.name, got[1].target.name, got[1].source_ip) == ("a", "b", "::FFFF:10.0.0.7")
     assert got[2].quality.reasons == ["missing_user_identity", "invalid_source_ip"] and got[2].quality.status == "partial"
     assert got[3].error_code == "UIM_ACTOR_REQUIRED" and got[4].outcome == "failure"
 

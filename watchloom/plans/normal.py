@@ -43,7 +43,7 @@ win AS (SELECT e.i, w.domain, w.category, w.action, CASE WHEN code IN ('4768', '
   CASE WHEN i % 11 = 0 THEN 'EVENT_UNSUPPORTED' WHEN i % 13 = 0 THEN 'DIP_WINDOWS_COMPUTER_MISSING' WHEN w.domain IS NULL THEN 'EVENT_UNSUPPORTED' END AS error_code, i % 5 = 1 AS bad_ip FROM e LEFT JOIN w USING (code) WHERE k < 3),
 winq AS (SELECT *, concat_ws(',', CASE WHEN user_name IS NULL AND target_name IS NULL AND user_id_missing THEN 'missing_user_identity' END, CASE WHEN bad_ip THEN 'invalid_source_ip' END) AS reasons FROM (SELECT *, target_name IS NULL AS user_id_missing FROM win)),
 sen AS (SELECT i, CASE kind WHEN 'conn' THEN 'network' WHEN 'dns' THEN 'dns' WHEN 'http' THEN 'web' ELSE 'tls' END AS domain, CASE kind WHEN 'http' THEN 'web' ELSE 'network' END AS category,
-  CASE kind WHEN 'conn' THEN 'network-connection' WHEN 'dns' THEN 'dns-response' WHEN 'http' THEN 'http-request' ELSE 'tls-session' END AS action, CASE WHEN kind = 'http' AND i % 2 = 0 THEN 'failure' END AS outcome,
+  CASE kind WHEN 'conn' THEN 'network-connection' WHEN 'dns' THEN 'dns-response' WHEN 'http' THEN 'http-request' ELSE 'tls-session' END AS action, CASE WHEN kind = 'http' AND i % 2 = 0 THEN 'failure' ELSE 'unknown' END AS outcome,
   CASE kind WHEN 'conn' THEN 'network.connection' WHEN 'dns' THEN 'dns.response' WHEN 'http' THEN 'web.request' ELSE 'tls.session' END AS type, CASE WHEN i % 7 = 0 THEN 'a.b' ELSE '10.0.0.1' END AS source_ip,
   CASE WHEN k = 5 AND i % 5 = 0 THEN 'DIP_ZEEK_DATASET_MISMATCH' WHEN k = 5 AND i % 6 = 0 THEN 'DIP_ZEEK_ORIGINAL_MISMATCH' WHEN i % 7 = 0 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' WHEN kind = 'dns' AND i % 9 = 0 THEN 'UIM_DNS_QUERY_REQUIRED' END AS error_code,
   CASE WHEN i % 3 = 0 THEN 'missing_source_session_id' ELSE '' END AS reasons FROM e WHERE k BETWEEN 3 AND 5),
@@ -135,11 +135,11 @@ def s04_source_position(spark, sf_dir):
     return I.with_source_position(table(spark, sf_dir, "events").select("event_id", payload.alias("payload"), F.concat(F.lit("topic:0:"), i.cast("string")).alias("delivery_position"))).select("event_id", "source_position")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN sha256('{"a":' || event_id || ',"agent":{"id":"x"},"log":{"file":{},"offset":1},"t":"' || event_type || '"}') END AS payload_hash FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN sha256('{"a":' || event_id || '.50,"agent":{"id":"x"},"log":{"file":{},"offset":1},"t":"' || event_type || '","u":"a\\u0026b\\u003cé"}') WHEN event_id % 14 = 0 THEN sha256('[1e2,"x"]') END AS payload_hash FROM events""")
 def s06_payload_hash(spark, sf_dir):
     i = F.col("event_id").cast("string")
-    flat = F.concat(F.lit('{"t": "'), F.col("event_type"), F.lit('", "log": {"offset": 1, "file": {"inode": '), i, F.lit(', "path": "p", "device_id": 4}}, "agent": {"ephemeral_id": "e'), i, F.lit('", "id": "x"}, "a": '), i, F.lit("}"))
-    return I.with_payload_hash(table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "{no json").otherwise(flat).alias("payload"))).select("event_id", "payload_hash")
+    flat = F.concat(F.lit('{"t": "'), F.col("event_type"), F.lit('", "log": {"offset": 1, "file": {"inode": '), i, F.lit(', "path": "p", "device_id": 4}}, "agent": {"ephemeral_id": "e'), i, F.lit('", "id": "x"}, "a": 1, "u": "a&b<\\u00e9", "a": '), i, F.lit(".50}"))
+    return I.with_payload_hash(table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 14 == 0, ' [ 1e2, "x" ] ').when(F.col("event_id") % 7 == 0, "{no json").otherwise(flat).alias("payload"))).select("event_id", "payload_hash")
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'EVENT_JSON_INVALID' WHEN 1 THEN 'EVENT_TIMESTAMP_INVALID' WHEN 2 THEN 'EVENT_AGENT_REQUIRED' WHEN 3 THEN 'EVENT_DATASET_REQUIRED' WHEN 4 THEN 'EVENT_SIZE' END AS error_code FROM events""")

@@ -367,15 +367,15 @@ def conn_lines(spark, sf_dir) -> DataFrame:
     i = F.col("event_id")
     rec = F.struct(
         F.when(i % 9 == 0, "yesterday").otherwise((1704067200 + i).cast("string")).alias("ts"), F.when(i % 9 != 1, F.concat(F.lit("10.0.0."), (i % 200).cast("string"))).alias("id.orig_h"), F.lit("10.1.0.1").alias("id.resp_h"),
-        (i % 70000).alias("id.orig_p"), F.lit(443).alias("id.resp_p"), F.lit("TCP").alias("proto"), (i % 7).alias("duration"), i.alias("orig_bytes"), F.when(i % 5 != 0, i * 2).alias("resp_bytes"),
+        (i % 70000).alias("id.orig_p"), F.lit(443).alias("id.resp_p"), F.lit("TCP").alias("proto"), (i % 7 - 1).alias("duration"), i.alias("orig_bytes"), F.when(i % 5 != 0, i * 2).alias("resp_bytes"), F.when(i % 2 == 0, "-").otherwise("SSL").alias("service"),
     )
     return e.select(i.alias("raw_event_id"), F.to_json(rec).alias("payload"))
 
 
 @query("""SELECT event_id AS raw_event_id, CASE WHEN event_id % 9 <> 1 THEN '10.0.0.' || (event_id % 200) END AS source_ip, CASE WHEN event_id % 70000 <= 65535 THEN (event_id % 70000)::INT END AS source_port, 'tcp' AS transport,
- (event_id % 7) * 1000000000 AS duration, CASE WHEN event_id % 5 <> 0 THEN event_id * 3 END AS bytes, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' END AS error_code FROM events""")
+ CASE WHEN event_id % 7 > 0 THEN (event_id % 7 - 1) * 1000000000 END AS duration, CASE WHEN event_id % 5 <> 0 THEN event_id * 3 END AS bytes, CASE WHEN event_id % 2 = 1 THEN 'ssl' END AS protocol, 'unknown' AS outcome, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' END AS error_code FROM events""")
 def n03_conn(spark, sf_dir):
-    return I.normalize_conn(conn_lines(spark, sf_dir)).select("raw_event_id", "source_ip", "source_port", "transport", "duration", "bytes", "error_code")
+    return I.normalize_conn(conn_lines(spark, sf_dir)).select("raw_event_id", "source_ip", "source_port", "transport", "duration", "bytes", "protocol", "outcome", "error_code")
 
 
 @query("""SELECT 'quar:' || sha256('quarantine-v1|' || event_id || '|' || c) AS quarantine_id, event_id AS raw_event_id, 'UIM' AS stage, c AS code, c AS reason FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN 1 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' END AS c FROM events) WHERE c IS NOT NULL""")
@@ -383,17 +383,17 @@ def n12_quarantine(spark, sf_dir):
     return I.to_quarantine(I.normalize_conn(conn_lines(spark, sf_dir)))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'h' || user_id END AS domain, CASE WHEN event_id % 3 = 0 THEN '/' ELSE '/p' END AS path, (200 + event_id % 300)::INT AS status_code, CASE WHEN 200 + event_id % 300 >= 400 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_id % 4 = 0 THEN 'UIM_HTTP_HOST_REQUIRED' END AS error_code FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'h' || user_id END AS domain, CASE WHEN event_id % 3 = 0 THEN '/' ELSE '/p' END AS path, CASE WHEN event_id % 10 <> 0 THEN (200 + event_id % 300)::INT END AS status_code, CASE WHEN event_id % 10 = 0 THEN 'unknown' WHEN 200 + event_id % 300 >= 400 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_id % 4 = 0 THEN 'UIM_HTTP_HOST_REQUIRED' END AS error_code FROM events""")
 def n05_http(spark, sf_dir):
     i = F.col("event_id")
-    rec = F.struct(F.when(i % 4 != 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).alias("host"), F.when(i % 3 != 0, "/p").alias("uri"), (200 + i % 300).alias("status_code"))
+    rec = F.struct(F.when(i % 4 != 0, F.concat(F.lit("h"), F.col("user_id").cast("string"))).alias("host"), F.when(i % 3 != 0, "/p").alias("uri"), F.when(i % 10 == 0, "-").otherwise((200 + i % 300).cast("string")).alias("status_code"), F.lit(1).alias("ts"), F.lit("10.0.0.1").alias("id.orig_h"), F.lit("10.0.0.2").alias("id.resp_h"))
     return I.normalize_http(table(spark, sf_dir, "events").select("event_id", F.to_json(rec).alias("payload"))).select("event_id", "domain", "path", "status_code", "outcome", "error_code")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN event_type || '.example' END AS question, CASE WHEN event_id % 2 = 0 THEN 'NOERROR' END AS response_code, CASE WHEN event_id % 6 = 0 THEN 'UIM_DNS_QUERY_REQUIRED' END AS error_code FROM events""")
 def n04_dns(spark, sf_dir):
     i = F.col("event_id")
-    rec = F.struct(F.when(i % 6 != 0, F.concat("event_type", F.lit(".example"))).alias("query"), F.when(i % 2 == 0, "NOERROR").alias("rcode_name"))
+    rec = F.struct(F.when(i % 6 != 0, F.concat("event_type", F.lit(".example"))).alias("query"), F.when(i % 2 == 0, "NOERROR").otherwise("-").alias("rcode_name"), F.lit(1).alias("ts"), F.lit("10.0.0.1").alias("id.orig_h"), F.lit("10.0.0.2").alias("id.resp_h"))
     return I.normalize_dns(table(spark, sf_dir, "events").select("event_id", F.to_json(rec).alias("payload"))).select("event_id", "question", "response_code", "error_code")
 
 
@@ -557,14 +557,14 @@ def q21_evidence(spark, sf_dir):
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type || '.example' END AS server_name, 'TLSv12' AS version, CASE WHEN event_id % 5 = 0 THEN 'UIM_TLS_SERVER_NAME_REQUIRED' END AS error_code FROM events""")
 def n06_tls(spark, sf_dir):
-    rec = F.struct(F.when(F.col("event_id") % 5 != 0, F.concat("event_type", F.lit(".example"))).alias("server_name"), F.lit("TLSv12").alias("version"))
+    rec = F.struct(F.when(F.col("event_id") % 5 != 0, F.concat("event_type", F.lit(".example"))).alias("server_name"), F.lit("TLSv12").alias("version"), F.lit(1).alias("ts"), F.lit("10.0.0.1").alias("id.orig_h"), F.lit("10.0.0.2").alias("id.resp_h"))
     return I.normalize_tls(table(spark, sf_dir, "events").select("event_id", F.to_json(rec).alias("payload"))).select("event_id", "server_name", "version", "error_code")
 
 
-@query("""SELECT quality, reasons, count(*) AS n FROM (SELECT CASE WHEN value > 50 OR user_id = 7 THEN 'partial' ELSE 'qualified' END AS quality, concat_ws(',', CASE WHEN value > 50 THEN 'large' END, CASE WHEN user_id = 7 THEN 'seven' END) AS reasons FROM events) GROUP BY ALL""")
+@query("""SELECT quality, reasons, usable_for, count(*) AS n FROM (SELECT CASE WHEN value > 50 OR user_id = 7 THEN 'partial' ELSE 'qualified' END AS quality, concat_ws(',', CASE WHEN value > 50 THEN 'large' END, CASE WHEN user_id = 7 THEN 'seven' END) AS reasons, 'event_query,authentication_features' AS usable_for FROM events) GROUP BY ALL""")
 def n10_quality(spark, sf_dir):
     x = I.with_quality(table(spark, sf_dir, "events"), [(F.col("value") > 50, "large"), (F.col("user_id") == 7, "seven")], F.lit("authentication"))
-    return x.groupBy("quality", F.array_join("reasons", ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy("quality", F.array_join("reasons", ",").alias("reasons"), F.array_join("usable_for", ",").alias("usable_for")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT event_id, {T.format('ts')} AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-18'")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.values import first_failing, piped_id, stable_id
-from watchloom.sources.standard import PAYLOAD, WINDOWS_EVENTS, is_ip, text, whole
+from watchloom.sources.canonical import canonical_payload, with_payload_hash  # noqa: F401  # with_payload_hash is part of this module's interface
+from watchloom.sources.standard import PAYLOAD, WINDOWS_EVENTS, normalize_sensor, quality_of, text
 
 
 def read_raw(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
@@ -23,37 +24,29 @@ def read_log_files(spark, path: str, most: int = 1 << 20) -> DataFrame:
     return x.withColumn("error_code", F.when(F.octet_length("value") > most, "LINE_TOO_LONG"))
 
 
+def sensor_rows(df: DataFrame, kind: str, j: str) -> DataFrame:
+    """Payloads of one sensor data set as standard events; see standard.normalize_sensor."""
+    # the names of a standard event are the normaliser's, those of df come back after it
+    x = df.select(F.struct(*df.columns).alias("_own"), F.col(j)).withColumn("body", F.from_json(j, PAYLOAD, {"columnNameOfCorruptRecord": "_bad"})).withColumn("error_code", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    return normalize_sensor(x.withColumn("raw_event_id", none).withColumn("release_id", none).withColumn("vendor_dataset", F.lit(f"zeek.{kind}")))
+
+
 def normalize_conn(df: DataFrame, j: str = "payload") -> DataFrame:
-    """Network connections: endpoints, transport, duration in ns, bytes and packets as sums of whole numbers.  The payload is parsed once."""
-    x = df.withColumn("_body", F.from_json(j, PAYLOAD, {"columnNameOfCorruptRecord": "_bad"}))
-    get = lambda k: text(F.col(f"_body.`{k}`"))
-    either = lambda k: F.coalesce(get(f"id.{k}"), text(F.col(f"_body.id.{k}")), get(k))
-    port = lambda c: F.when(whole(c) <= 65535, whole(c).cast("int"))
-    src, dst, time = either("orig_h"), either("resp_h"), get("ts").try_cast("double")
-    both = lambda a, b: F.try_add(whole(get(a)), whole(get(b)))
-    code = first_failing((time.isNotNull(), "UIM_EVENT_TIME_INVALID"), (is_ip(src) & is_ip(dst), "UIM_ZEEK_ENDPOINTS_REQUIRED"))
-    return x.select(
-        *df.columns, F.timestamp_micros((time * 1_000_000).cast("long")).alias("event_time"), src.alias("source_ip"), dst.alias("destination_ip"),
-        port(either("orig_p")).alias("source_port"), port(either("resp_p")).alias("destination_port"),
-        F.lower(get("proto")).alias("transport"), F.lower(get("service")).alias("protocol"), (get("duration").try_cast("double") * 1e9).cast("long").alias("duration"),
-        both("orig_bytes", "resp_bytes").alias("bytes"), both("orig_pkts", "resp_pkts").alias("packets"), code.alias("error_code"),
-    )
+    """Network connections: endpoints, transport, duration in ns, bytes and packets as sums of whole numbers."""
+    return sensor_rows(df, "conn", j).select("_own.*", "event_time", "source_ip", "destination_ip", "source_port", "destination_port", "transport", "protocol", "duration", "bytes", "packets", "outcome", "error_code")
 
 
 def normalize_dns(df: DataFrame, j: str = "payload") -> DataFrame:
-    q = F.get_json_object(j, "$.query")
-    return df.select(*df.columns, q.alias("question"), F.get_json_object(j, "$.rcode_name").alias("response_code"), first_failing((q.isNotNull() & (q != ""), "UIM_DNS_QUERY_REQUIRED")).alias("error_code"))
+    return sensor_rows(df, "dns", j).select("_own.*", F.col("name").alias("question"), "response_code", "outcome", "error_code")
 
 
 def normalize_http(df: DataFrame, j: str = "payload") -> DataFrame:
-    host, status = F.get_json_object(j, "$.host"), F.get_json_object(j, "$.status_code").try_cast("int")
-    path = F.coalesce(F.nullif(F.get_json_object(j, "$.uri"), F.lit("")), F.lit("/"))
-    return df.select(*df.columns, host.alias("domain"), path.alias("path"), F.get_json_object(j, "$.method").alias("method"), status.alias("status_code"), F.when(status >= 400, "failure").otherwise("success").alias("outcome"), first_failing((host.isNotNull() & (host != ""), "UIM_HTTP_HOST_REQUIRED")).alias("error_code"))
+    return sensor_rows(df, "http", j).select("_own.*", F.col("name").alias("domain"), "path", "method", "status_code", "outcome", "error_code")
 
 
 def normalize_tls(df: DataFrame, j: str = "payload") -> DataFrame:
-    name = F.get_json_object(j, "$.server_name")
-    return df.select(*df.columns, name.alias("server_name"), F.get_json_object(j, "$.version").alias("version"), F.get_json_object(j, "$.cipher").alias("cipher"), first_failing((name.isNotNull() & (name != ""), "UIM_TLS_SERVER_NAME_REQUIRED")).alias("error_code"))
+    return sensor_rows(df, "ssl", j).select("_own.*", F.col("name").alias("server_name"), "version", "cipher", "outcome", "error_code")
 
 
 def join_windows_semantics(df: DataFrame, code: str = "code", status: str = "status") -> DataFrame:
@@ -64,10 +57,11 @@ def join_windows_semantics(df: DataFrame, code: str = "code", status: str = "sta
     return x.withColumn("outcome", F.when(F.col(code).isin("4768", "4769", "4776"), told).otherwise(F.col("outcome"))).withColumn("error_code", F.when(F.col("domain").isNull(), "EVENT_UNSUPPORTED"))
 
 
-def with_quality(df: DataFrame, warnings: list[tuple[Column, str]], capability: Column) -> DataFrame:
-    """partial if there is a warning, else qualified; the domain's capability is among what it can be used for."""
+def with_quality(df: DataFrame, warnings: list[tuple[Column, str]], domain: Column) -> DataFrame:
+    """df with quality, reasons and usable_for: partial if there is a warning, else qualified; see standard.quality_of."""
     reasons = F.filter(F.array(*[F.when(c, F.lit(w)) for c, w in warnings]), lambda x: x.isNotNull())
-    return df.withColumn("reasons", reasons).withColumn("quality", F.when(F.size("reasons") > 0, "partial").otherwise("qualified")).withColumn("usable_for", F.array(F.lit("search"), capability))
+    x = df.withColumn("_q", quality_of(reasons, domain))
+    return x.withColumn("reasons", F.col("_q.reasons")).withColumn("quality", F.col("_q.status")).withColumn("usable_for", F.col("_q.usable_for")).drop("_q")
 
 
 def to_quarantine(df: DataFrame, reason: str = "error_code", key: str = "raw_event_id") -> DataFrame:
@@ -203,47 +197,21 @@ def with_source_position(df: DataFrame, j: str = "payload", delivery: str = "del
     return x.withColumn("source_position", F.coalesce(F.when(win.isNotNull(), windows).otherwise(cursor), F.col(delivery))).drop("_e")
 
 
-# What a collector adds to a record is no part of its identity.
-COLLECTED = {"agent": {"ephemeral_id": None}, "event": {"created": None}, "log": {"file": {"path": None, "inode": None, "device_id": None}}}
-
-
-def object_text(j: str, path: str, drop: dict) -> Column:
-    """The JSON object at a path with sorted keys and without the dropped members; null if there is no object."""
-    members = F.expr(f"try_variant_get(try_parse_json(`{j}`), '{path}', 'map<string,variant>')")
-    kept = F.filter(F.array_sort(F.map_keys(members)), lambda k: ~k.isin([x for x, below in drop.items() if below is None]))
-
-    def value(k: Column) -> Column:
-        plain = F.coalesce(F.to_json(members[k]), F.lit("null"))
-        for name, below in drop.items():
-            if below is not None:
-                plain = F.when(k == name, F.coalesce(object_text(j, f"{path}.{name}", below), plain)).otherwise(plain)
-        return plain
-
-    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
-    return F.when(members.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda k: F.concat(quoted(k), F.lit(":"), value(k))), ","), F.lit("}")))
-
-
-def with_payload_hash(df: DataFrame, j: str = "payload") -> DataFrame:
-    """df with payload_hash: SHA-256 of the payload with sorted keys and without what the collector added; null if it is no JSON object.
-
-    Numbers are written in one form (1.50 as 1.5), so the digest is stable, though not that of the original literals.
-    """
-    return df.withColumn("payload_hash", F.sha2(object_text(j, "$", COLLECTED), 256))
-
-
 def validate_envelopes(df: DataFrame, organization: str, namespace: str) -> DataFrame:
     """df with error_code: scope, lineage limits, payload, recomputed identity and payload hash of a raw envelope."""
     short = lambda c, n, least=1: F.octet_length(F.coalesce(F.col(c), F.lit(""))).between(least, n)
     lineage = short("source_instance_id", 128) & F.col("source_context_id").rlike("^ctx_[0-9a-f]{32}$") & short("source_position", 512) & short("delivery_position", 512, 0) & short("source_epoch", 128) & short("vendor_name", 128)
     lineage = lineage & short("vendor_product", 128) & short("vendor_dataset", 128) & short("release_id", 128) & F.col("received_at").isNotNull()
     wanted = stable_id("raw", "raw-v1", *[F.col(c) for c in ("organization_id", "source_instance_id", "vendor_dataset", "source_epoch", "source_position")])
-    x = with_payload_hash(df.withColumnRenamed("payload_hash", "_claimed"))
+    x = df.withColumnRenamed("payload_hash", "_claimed").withColumn("_form", canonical_payload(F.col("payload"))).withColumn("payload_hash", F.col("_form.digest"))
+    # an envelope's payload is an object, though other values have a digest
+    whole_object = F.col("_form.canonical").startswith("{")
     code = first_failing(
         ((F.col("schema_version") == "1.0.0") & (F.col("organization_id") == organization) & (F.col("namespace") == namespace), "ENVELOPE_SCOPE_MISMATCH"),
-        (F.col("organization_id").rlike("^[A-Za-z0-9_-]{1,64}$") & F.col("namespace").rlike("^[A-Za-z0-9_-]{1,64}$") & lineage, "ENVELOPE_LINEAGE_INVALID"), (short("payload", 1 << 20) & F.col("payload_hash").isNotNull() & (F.col("encoding") == "json"), "ENVELOPE_PAYLOAD_INVALID"),
+        (F.col("organization_id").rlike("^[A-Za-z0-9_-]{1,64}$") & F.col("namespace").rlike("^[A-Za-z0-9_-]{1,64}$") & lineage, "ENVELOPE_LINEAGE_INVALID"), (short("payload", 1 << 20) & F.coalesce(whole_object, F.lit(False)) & (F.col("encoding") == "json"), "ENVELOPE_PAYLOAD_INVALID"),
         (F.col("raw_event_id") == wanted, "ENVELOPE_ID_MISMATCH"), (F.col("_claimed") == F.col("payload_hash"), "ENVELOPE_HASH_MISMATCH"),
     )
-    return x.withColumn("error_code", code).drop("payload_hash").withColumnRenamed("_claimed", "payload_hash")
+    return x.withColumn("error_code", code).drop("payload_hash", "_form").withColumnRenamed("_claimed", "payload_hash")
 
 
 def prune_receipts(df: DataFrame, time: str, now: str, days: int = 2) -> DataFrame:

@@ -53,12 +53,16 @@ PAYLOAD = (
 IPV4 = rf"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
+#: Eight groups of up to four digits, or up to seven with one ``::``.
+IPV6 = r"^(?=[0-9A-Fa-f:]+$)(?!.*[0-9A-Fa-f]{5})(?!.*:::)(?!.*::.*::)(?!:[^:])(?!.*[^:]:$)(?:(?=.*::)(?!:*(?:[0-9A-Fa-f]+:+){7}[0-9A-Fa-f])|(?!.*::)(?=(?:[0-9A-Fa-f]+:){7}[0-9A-Fa-f]+$)).*$"
+
+
 def is_ip(c: Column) -> Column:
-    """An IPv4 address without leading zeros, or an IPv6 address of eight groups or with one ``::`` for some of them."""
-    groups = F.size(F.filter(F.split(c, ":"), lambda x: x != ""))
-    double = F.instr(c, "::") > 0
-    v6 = c.rlike(r"^[0-9A-Fa-f:]+$") & ~c.rlike(r"[0-9A-Fa-f]{5}|:::|::.*::|^:[^:]|[^:]:$") & F.when(double, groups <= 7).otherwise(groups == 8)
-    return F.coalesce(c.rlike(IPV4) | v6, F.lit(False))
+    """An IPv4 address without leading zeros, or an IPv6 address of eight groups or with one ``::`` for some of them.
+
+    One test of c, as filters on error codes copy what they are made of.
+    """
+    return F.coalesce(c.rlike(f"{IPV4}|{IPV6}"), F.lit(False))
 
 
 def text(c: Column) -> Column:
@@ -120,30 +124,47 @@ def normalize_windows(df: DataFrame) -> DataFrame:
     some = lambda s: F.when(s["id"].isNotNull() | s["name"].isNotNull(), s)
     x = x.withColumn("user", some(own)).withColumn("target", some(other)).withColumn("group", some(F.when(of_group, F.struct(data("TargetSid").alias("id"), data("TargetUserName").alias("name")))))
     nobody = F.col("user").isNull() & F.col("target").isNull()
-    ip = F.nullif(data("IpAddress"), F.lit("-"))
-    bare = F.regexp_replace(ip, "(?i)^::ffff:", "")
-    warned = F.filter(F.array(F.when(nobody, "missing_user_identity"), F.when(ip.isNotNull() & ~is_ip(bare), "invalid_source_ip")), lambda w: w.isNotNull())
+    # an address is judged without the prefix in any case, and loses it in lower case only
+    x = x.withColumn("_ip", F.nullif(data("IpAddress"), F.lit("-"))).withColumn("_judged", F.regexp_replace(F.lower("_ip"), "^::ffff:", ""))
+    x = x.withColumn("_good_ip", F.coalesce(is_ip(F.col("_judged")), F.lit(False)))
+    ip = F.col("_ip")
+    warned = F.filter(F.array(F.when(nobody, "missing_user_identity"), F.when(ip.isNotNull() & ~F.col("_good_ip"), "invalid_source_ip")), lambda w: w.isNotNull())
     error = first_failing(
         (win.isNotNull(), "DIP_WINDOWS_WINLOG_MISSING"), (gate, "EVENT_UNSUPPORTED"), (code.isNotNull(), "DIP_WINDOWS_EVENT_ID_MISSING"), (time.isNotNull(), "UIM_EVENT_TIME_INVALID"),
         (text(win["computer_name"]).isNotNull(), "DIP_WINDOWS_COMPUTER_MISSING"), (domain.isNotNull(), "EVENT_UNSUPPORTED"), ((domain != "directory") | ~nobody, "UIM_ACTOR_REQUIRED"),
     )
     outcome = F.when(code.isin("4768", "4769", "4776"), F.when(data("Status").isin("0x0", "0"), "success").otherwise("failure")).otherwise(F.col("w_outcome"))
     x = x.withColumn("error_code", F.coalesce("error_code", error)).withColumn("event_time", time).withColumn("category", F.array("w_category")).withColumn("action", F.col("w_action")).withColumn("outcome", outcome)
-    x = x.withColumn("host_name", text(win["computer_name"])).withColumn("source_ip", F.when(is_ip(bare), bare)).withColumn("quality", quality_of(warned, domain))
-    return with_base_fields(x, F.col("w_type"), domain).drop("w_domain", "w_category", "w_action", "w_outcome", "w_type")
+    x = x.withColumn("host_name", text(win["computer_name"])).withColumn("source_ip", F.when(F.col("_good_ip"), F.regexp_replace(ip, "^::ffff:", ""))).withColumn("quality", quality_of(warned, domain))
+    return with_base_fields(x, F.col("w_type"), domain).drop("w_domain", "w_category", "w_action", "w_outcome", "w_type", "_ip", "_judged", "_good_ip")
 
 
 def normalize_sensor(df: DataFrame) -> DataFrame:
-    """Rows of df with a network sensor's payload (connection, DNS, HTTP, TLS) as standard events, or an error_code."""
-    b = lambda k: text(F.col(f"body.`{k}`"))
+    """Rows of df with a network sensor's payload (connection, DNS, HTTP, TLS) as standard events, or an error_code.
+
+    A lone ``-`` is no value.  The outcome is unknown but for HTTP rows with a status.
+    The payload stays in its own column.
+    """
+    # each cleaned field is a column of its own, read by the rules below as it is
+    said = lambda c: text(F.regexp_replace(c, "^-$", ""))
+    plain = ["_path", "ts", "proto", "service", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "query", "rcode_name", "host", "uri", "method", "status_code", "server_name", "version", "cipher"]
+    ends = ["orig_h", "resp_h", "orig_p", "resp_p"]
+    either = [F.coalesce(said(F.col(f"body.`id.{k}`")), said(F.col(f"body.id.{k}")), said(F.col(f"body.`{k}`"))).alias(f"_f_{k}") for k in ends]
+    df = df.select("*", *[said(F.col(f"body.`{k}`")).alias(f"_f_{k}") for k in plain], *either)
+    b = lambda k: F.col(f"_f_{k}")
+    # whole numbers as text, and whole numbers in any notation
+    number = lambda k: F.when(b(k).rlike(r"^[+-]?\d+$"), b(k).try_cast("int")).alias(f"_n_{k}")
+    counter = lambda k: F.when((b(k).try_cast("double") >= 0) & (b(k).try_cast("double") < 9.2e18) & (b(k).try_cast("double") % 1 == 0), F.coalesce(b(k).try_cast("long"), b(k).try_cast("double").cast("long"))).alias(f"_n_{k}")
+    counted = ["orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts"]
+    df = df.select("*", *[number(k) for k in ("orig_p", "resp_p", "status_code")], *[counter(k) for k in counted])
     declared, named = F.lower(b("_path")), F.nullif(F.lower(F.regexp_replace("vendor_dataset", "^zeek[.]", "")), F.lit(""))
-    kind = F.coalesce(named, declared)
-    either = lambda k: F.coalesce(b(f"id.{k}"), text(F.col(f"body.id.{k}")), b(k))
-    src, dst = either("orig_h"), either("resp_h")
-    port = lambda c: F.when(whole(c) <= 65535, whole(c).cast("int"))
+    df = df.withColumn("_kind", F.coalesce(named, declared))
+    kind, src, dst = F.col("_kind"), b("orig_h"), b("resp_h")
+    port = lambda k: F.when(F.col(f"_n_{k}").between(0, 65535), F.col(f"_n_{k}"))
+    lasted = b("duration").try_cast("double")
     seconds = b("ts").try_cast("double")
     time = F.coalesce(F.timestamp_micros((seconds * 1_000_000).cast("long")), stamp(F.col("body.`@timestamp`")))
-    status = whole(b("status_code")).cast("int")
+    status = F.col("_n_status_code")
     pick = lambda conn, dns, http, ssl: F.when(kind == "conn", conn).when(kind == "dns", dns).when(kind == "http", http).when(kind == "ssl", ssl)
     domain = pick(F.lit("network"), F.lit("dns"), F.lit("web"), F.lit("tls"))
     semantic = pick(F.lit("network.connection"), F.lit("dns.response"), F.lit("web.request"), F.lit("tls.session"))
@@ -155,11 +176,13 @@ def normalize_sensor(df: DataFrame) -> DataFrame:
     )
     warned = F.filter(F.array(F.when(F.col("body.uid").isNull(), "missing_source_session_id")), lambda w: w.isNotNull())
     x = df.withColumn("error_code", F.coalesce("error_code", error)).withColumn("event_time", time).withColumn("category", F.array(F.when(kind == "http", "web").otherwise("network"))).withColumn("action", action)
-    x = x.withColumn("outcome", F.when((kind == "http") & status.isNotNull(), F.when(status >= 400, "failure").otherwise("success"))).withColumn("source_ip", src).withColumn("source_port", port(either("orig_p"))).withColumn("destination_ip", dst)
-    x = x.withColumn("destination_port", port(either("resp_p"))).withColumn("transport", F.lower(b("proto"))).withColumn("protocol", F.lower(b("service"))).withColumn("duration", (b("duration").try_cast("double") * 1e9).cast("long"))
-    x = x.withColumn("bytes", F.try_add(whole(b("orig_bytes")), whole(b("resp_bytes")))).withColumn("packets", F.try_add(whole(b("orig_pkts")), whole(b("resp_pkts"))))
+    x = x.withColumn("outcome", F.when((kind == "http") & status.isNotNull(), F.when(status >= 400, "failure").otherwise("success")).otherwise("unknown")).withColumn("source_ip", src).withColumn("source_port", port("orig_p")).withColumn("destination_ip", dst)
+    x = x.withColumn("destination_port", port("resp_p")).withColumn("transport", F.lower(b("proto"))).withColumn("protocol", F.lower(b("service"))).withColumn("duration", F.when((kind == "conn") & (lasted >= 0) & (lasted < 9.2e9), (lasted * 1e9).cast("long")))
+    x = x.withColumn("bytes", F.when(kind == "conn", F.try_add(F.col("_n_orig_bytes"), F.col("_n_resp_bytes")))).withColumn("packets", F.when(kind == "conn", F.try_add(F.col("_n_orig_pkts"), F.col("_n_resp_pkts"))))
     x = x.withColumn("name", pick(F.lit(None), b("query"), b("host"), b("server_name"))).withColumn("path", F.when(kind == "http", F.coalesce(b("uri"), F.lit("/")))).withColumn("status_code", F.when(kind == "http", status))
-    return with_base_fields(x.withColumn("quality", quality_of(warned, domain)), semantic, domain)
+    x = x.withColumn("response_code", F.when(kind == "dns", b("rcode_name"))).withColumn("method", F.when(kind == "http", b("method"))).withColumn("version", F.when(kind == "ssl", b("version"))).withColumn("cipher", F.when(kind == "ssl", b("cipher")))
+    x = with_base_fields(x.withColumn("quality", quality_of(warned, domain)), semantic, domain)
+    return x.drop(*[c for c in x.columns if c.startswith(("_f_", "_n_"))], "_kind")
 
 
 def validate_events(df: DataFrame) -> DataFrame:
