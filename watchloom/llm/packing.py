@@ -39,12 +39,21 @@ from pyspark.sql import functions as F
 from watchloom.llm.textops import pieces, saved
 
 #: Words a worker remembers the ids of (about 230 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Rows of the table of shifts that are sent to the tasks (about 24 bytes each).
 SENT_ROWS = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+def give_back() -> None:
+    """Memory that the C library keeps of what was freed, the tokenizer's most of all, goes back to the machine."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def plain_parts(word: str) -> int:
     """In how many parts the tokenizer splits a word, if that is plain: letters of the Latin blocks, perhaps a stop or comma; else 0."""
     if word.isascii():
@@ -141,7 +150,8 @@ def piece_batches(path: str, size: int, end: int, with_ids: bool):
         encode = word_ids(path)
         part_id, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for part in pieces(batch, 8 << 20, 4000):
+            for part in pieces(batch, 2 << 20, 4000):
+                give_back()
                 ids, ends = encode([x or "" for x in part.column(1).to_pylist()])
                 ids = np.insert(ids, ends, np.uint32(end)).astype("<u4")
                 ends = ends + np.arange(1, len(ends) + 1)
