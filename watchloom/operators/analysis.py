@@ -163,9 +163,9 @@ def recompute(current: DataFrame, verdicts: DataFrame, at: str) -> DataFrame:
     c = current.select("business_key", F.col("revision").alias("r0"), F.col("hash").alias("h0"), F.col("operation").alias("op0"), F.col("entity_id").alias("e0"), F.col("score").alias("s0"))
     x = verdicts.join(c, "business_key", "full_outer")
     gone = F.col("hash").isNull()
-    changed = ~gone & (F.col("r0").isNull() | (F.col("h0") != F.col("hash")) | (F.col("op0") == "retract"))
+    changed = ~gone & (F.col("r0").isNull() | (F.col("h0") != F.col("hash")) | (F.col("op0") == "retracted"))
     x = x.where(changed | (gone & (F.col("op0") == "upsert")))
-    return x.select("business_key", F.coalesce("entity_id", "e0").alias("entity_id"), (F.coalesce("r0", F.lit(0)) + 1).cast("int").alias("revision"), F.when(gone, "retract").otherwise("upsert").alias("operation"), F.coalesce("hash", "h0").alias("hash"), F.coalesce("score", "s0").alias("score"), F.lit(at).cast("timestamp").alias("at"))
+    return x.select("business_key", F.coalesce("entity_id", "e0").alias("entity_id"), (F.coalesce("r0", F.lit(0)) + 1).cast("int").alias("revision"), F.when(gone, "retracted").otherwise("upsert").alias("operation"), F.coalesce("hash", "h0").alias("hash"), F.coalesce("score", "s0").alias("score"), F.lit(at).cast("timestamp").alias("at"))
 
 
 def current_view(history: DataFrame, alerts_only: bool = False) -> DataFrame:
@@ -180,15 +180,18 @@ def risk_contributions(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("business_key").orderBy("revision")
     live = F.when(F.col("operation") == "upsert", F.col("score")).otherwise(0.0)
     x = frames.withColumn("live", live).withColumn("amount", F.col("live") - F.coalesce(F.lag("live").over(w), F.lit(0.0)))
-    kind = F.when(F.col("operation") == "retract", "reversal").when(F.col("revision") == 1, "positive").otherwise("compensation")
+    kind = F.when(F.col("operation") == "retracted", "reversal").when(F.col("revision") == 1, "positive").otherwise("compensation")
     return x.withColumn("kind", kind).withColumn("in_order", F.col("revision") - F.coalesce(F.lag("revision").over(w), F.lit(0)) == 1)
 
 
 def entity_risk(contributions: DataFrame, at: str, half_days: float = 7.0, zero_days: float = 30.0) -> DataFrame:
-    """Decayed risk of each entity at a time: halved every half_days, nothing beyond zero_days, never below 0."""
+    """Decayed risk of each entity at a time: halved every half_days, nothing beyond zero_days, never below 0.
+
+    A contribution that lies after the time is an error.
+    """
     age = (F.lit(at).cast("timestamp").cast("double") - F.col("at").cast("timestamp").cast("double")) / 86400
-    part = F.when(age > zero_days, 0.0).otherwise(F.col("amount") * F.pow(F.lit(0.5), age / half_days))
-    return contributions.where(age >= 0).groupBy("entity_id").agg(F.greatest(F.lit(0.0), F.sum(part)).alias("risk"), F.count(F.lit(1)).alias("contributions"))
+    part = F.when(age < 0, F.raise_error(F.lit("a contribution lies after the time of risk"))).when(age > zero_days, 0.0).otherwise(F.col("amount") * F.pow(F.lit(0.5), age / half_days))
+    return contributions.groupBy("entity_id").agg(F.greatest(F.lit(0.0), F.sum(part)).alias("risk"), F.count(F.lit(1)).alias("contributions"))
 
 
 # --- feedback
@@ -247,7 +250,7 @@ def latest_models(models: DataFrame, lineage: list[str]) -> DataFrame:
 def retract(current: DataFrame, keys: DataFrame, reason: str, at: str) -> DataFrame:
     """Retractions at the next revision of the live keys that are given; unknown and already retracted ones give none."""
     live = current.where("operation = 'upsert'").join(keys.select("business_key").distinct(), "business_key", "left_semi")
-    return live.withColumn("revision", F.col("revision") + 1).withColumn("operation", F.lit("retract")).withColumn("reason", F.lit(reason)).withColumn("at", F.lit(at).cast("timestamp"))
+    return live.withColumn("revision", F.col("revision") + 1).withColumn("operation", F.lit("retracted")).withColumn("reason", F.lit(reason)).withColumn("at", F.lit(at).cast("timestamp"))
 
 
 def switch_generation(current: DataFrame, rule: str, old: str, at: str) -> DataFrame:

@@ -65,20 +65,30 @@ def project(df: DataFrame, kind: str, key: str, columns: list[str]) -> DataFrame
 
 
 def publish_models(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Outcome of new(model_id, version, status, hash, created_at) models: published (and whom it supersedes), idempotent, conflict, refreshed (cold start) or refused (a cold start over a ready one).
+    """Outcome of new(model_id, version, status, hash, created_at) models: published (and whom it supersedes), idempotent, conflict, refreshed (a cold start over the cold start of its version) or refused (a cold start over a version in another state).
 
-    A version is immutable.  One model_id is published once a batch.
+    A version is immutable; a cold start of a new version is recorded whatever other
+    versions are.  Where the tables have organization_id, it is part of the key.  One
+    version of a model is published once a batch.
     """
-    same = stored.select("model_id", "version", F.col("hash").alias("_hash"), F.col("status").alias("_status"))
-    last = stored.groupBy("model_id").agg(F.max(F.struct("created_at", "version")).alias("_l"), F.max((F.col("status") == "ready").cast("int")).alias("_ready")).select("model_id", F.col("_l.version").alias("_last"), "_ready")
-    x = new.join(same, ["model_id", "version"], "left").join(last, "model_id", "left")
-    outcome = F.when(F.col("_hash") == F.col("hash"), "idempotent").when((F.col("_status") == "cold_start") & (F.col("status") == "cold_start"), "refreshed").when(F.col("_hash").isNotNull(), "conflict").when((F.col("status") == "cold_start") & (F.col("_ready") == 1), "refused").otherwise("published")
-    return x.withColumn("outcome", outcome).withColumn("supersedes", F.when(outcome == "published", F.col("_last"))).drop("_hash", "_status", "_last", "_ready")
+    key = [c for c in ("organization_id", "model_id") if c in new.columns]
+    same = stored.select(*key, "version", F.col("hash").alias("_hash"), F.col("status").alias("_status"))
+    last = stored.groupBy(*key).agg(F.max(F.struct("created_at", "version")).alias("_l")).select(*key, F.col("_l.version").alias("_last"))
+    x = new.join(same, [*key, "version"], "left").join(last, key, "left")
+    cold, there = F.col("status") == "cold_start", F.col("_hash").isNotNull()
+    outcome = F.when(cold & there & (F.col("_status") != "cold_start"), "refused").when(F.col("_hash") == F.col("hash"), "idempotent").when(cold & there, "refreshed").when(there, "conflict").otherwise("published")
+    return x.withColumn("outcome", outcome).withColumn("supersedes", F.when(outcome == "published", F.col("_last"))).drop("_hash", "_status", "_last")
 
 
 def contribution_id(organization: Column, key: Column, revision: Column, operation: Column) -> Column:
-    """rc:sha256 of the compact JSON list of its parts."""
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", "")
+    """rc:sha256 of the compact JSON list of its parts, all but ASCII as escapes of UTF-16 units."""
+    units = lambda x: F.lower(F.hex(F.encode(x, "UTF-16BE")))
+    escaped = lambda x: F.concat(F.lit("\\u"), F.left(units(x), F.lit(4)), F.when(F.length(units(x)) > 4, F.concat(F.lit("\\u"), F.right(units(x), F.lit(4)))).otherwise(""))
+    plain = lambda c: F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", "")
+    # escapes, printable ASCII, and one character each of all else
+    parts = lambda c: F.regexp_extract_all(plain(c), F.lit(r"(\\u[0-9A-F]{4}|\\.|[\x20-\x5b\x5d-\x7e]+|[^\x20-\x7e])"))
+    written = lambda x: F.when(x.startswith("\\u"), F.lower(x)).when(x.rlike(r"^[\x20-\x7e]"), x).otherwise(escaped(x))
+    quoted = lambda c: F.array_join(F.transform(parts(c), written), "")
     return F.concat(F.lit("rc:"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", quoted(organization), quoted(key), revision.cast("string"), quoted(operation)), F.lit("]")), 256))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ MAX_GROUPS, MAX_ROWS, MAX_TOP = 10_000, 1000, 100
 def scope(df: DataFrame, time: str, start: str, end: str, **equal) -> DataFrame:
     """Rows of a time range, both ends included, at most 31 days, with the given fields equal."""
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    days = (date.fromisoformat(end[:10]) - date.fromisoformat(start[:10])).days
-    if days < 0 or days > 31:
+    length = datetime.fromisoformat(end) - datetime.fromisoformat(start)
+    if not timedelta(0) <= length <= timedelta(days=31):
         raise ValueError("the range must be of 0 to 31 days")
     out = df.where(F.col(time).between(first, last))
     for k, v in equal.items():

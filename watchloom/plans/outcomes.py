@@ -209,10 +209,10 @@ def s15_projections(spark, sf_dir):
 # --- models, risk, feedback
 
 
-@query("""SELECT p_partkey AS model_id, CASE p_partkey % 5 WHEN 0 THEN 'idempotent' WHEN 1 THEN 'conflict' WHEN 2 THEN 'published' WHEN 3 THEN 'refused' ELSE 'refreshed' END AS outcome, CASE WHEN p_partkey % 5 = 2 THEN '1.0' END AS supersedes FROM part""")
+@query("""SELECT p_partkey AS model_id, CASE p_partkey % 5 WHEN 0 THEN 'idempotent' WHEN 1 THEN 'conflict' WHEN 2 THEN 'published' WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 'published' ELSE 'refused' END ELSE 'refreshed' END AS outcome, CASE WHEN p_partkey % 5 = 2 OR p_partkey % 10 = 8 THEN '1.0' END AS supersedes FROM part""")
 def b07_publish_models(spark, sf_dir):
     k = F.col("p_partkey")
-    new = table(spark, sf_dir, "part").select(k.alias("model_id"), F.when(k % 5 == 2, "1.1").when(k % 5 == 3, "1.1").otherwise("1.0").alias("version"), F.when(k % 5 >= 3, "cold_start").otherwise("ready").alias("status"), F.when(k % 5 == 0, "h").otherwise("other").alias("hash"), L("2024-02-01").alias("created_at"))
+    new = table(spark, sf_dir, "part").select(k.alias("model_id"), F.when(k % 5 == 2, "1.1").when(k % 10 == 8, "1.1").otherwise("1.0").alias("version"), F.when(k % 5 >= 3, "cold_start").otherwise("ready").alias("status"), F.when(k % 5 == 0, "h").otherwise("other").alias("hash"), L("2024-02-01").alias("created_at"))
     stored = new.select("model_id", L("1.0").alias("version"), F.when(F.col("model_id") % 5 == 4, "cold_start").otherwise("ready").alias("status"), L("h").alias("hash"), L("2024-01-01").alias("created_at"))
     return P.publish_models(stored, new).select("model_id", "outcome", "supersedes")
 

@@ -267,7 +267,7 @@ def first_frames(spark, sf_dir, n: int) -> DataFrame:
 VERDICT = "SELECT 'tenant|failure-burst|' || entity_id || '|' || strftime(w, '%Y-%m-%dT%H:%M:%S') || 'Z|g1' AS k, entity_id, least(1.0, failures / 5) AS score, sha256('{n}|' || failures) AS h FROM (SELECT entity_id, date_trunc('day', ts) AS w, count(*) AS failures FROM ev WHERE outcome = 'failure' GROUP BY ALL HAVING count(*) >= {n})"
 FRAMES = f"""{EV}, va AS ({VERDICT.format(n=2)}), vb AS ({VERDICT.format(n=3)}),
 fr AS (SELECT k, entity_id, 1 AS revision, 'upsert' AS op, score, TIMESTAMP '2024-01-29' AS at0 FROM va
- UNION ALL SELECT coalesce(vb.k, va.k), coalesce(vb.entity_id, va.entity_id), CASE WHEN va.k IS NULL THEN 1 ELSE 2 END, CASE WHEN vb.k IS NULL THEN 'retract' ELSE 'upsert' END, coalesce(vb.score, va.score), TIMESTAMP '2024-01-30' FROM va FULL JOIN vb USING (k) WHERE va.h IS DISTINCT FROM vb.h)"""
+ UNION ALL SELECT coalesce(vb.k, va.k), coalesce(vb.entity_id, va.entity_id), CASE WHEN va.k IS NULL THEN 1 ELSE 2 END, CASE WHEN vb.k IS NULL THEN 'retracted' ELSE 'upsert' END, coalesce(vb.score, va.score), TIMESTAMP '2024-01-30' FROM va FULL JOIN vb USING (k) WHERE va.h IS DISTINCT FROM vb.h)"""
 
 
 def frames(spark, sf_dir) -> DataFrame:
@@ -288,7 +288,7 @@ def r06_current_view(spark, sf_dir):
 CONTRIB = f"""{FRAMES}, lv AS (SELECT *, CASE op WHEN 'upsert' THEN score ELSE 0 END AS live FROM fr), ct AS (SELECT *, live - coalesce(lag(live) OVER (PARTITION BY k ORDER BY revision), 0) AS amount FROM lv)"""
 
 
-@query(f"WITH {CONTRIB} SELECT k AS business_key, revision::INT AS revision, round(amount, 6) AS amount, CASE WHEN op = 'retract' THEN 'reversal' WHEN revision = 1 THEN 'positive' ELSE 'compensation' END AS kind, true AS in_order FROM ct")
+@query(f"WITH {CONTRIB} SELECT k AS business_key, revision::INT AS revision, round(amount, 6) AS amount, CASE WHEN op = 'retracted' THEN 'reversal' WHEN revision = 1 THEN 'positive' ELSE 'compensation' END AS kind, true AS in_order FROM ct")
 def r07_risk_contributions(spark, sf_dir):
     return A.risk_contributions(frames(spark, sf_dir)).select("business_key", "revision", r6("amount").alias("amount"), "kind", "in_order")
 
@@ -620,7 +620,7 @@ def b08_latest_models(spark, sf_dir):
     return A.latest_models(m, ["lineage"]).withColumn("created_at", V.text_time(F.col("created_at")))
 
 
-@query(f"WITH {FRAMES} SELECT k AS business_key, (max(revision) + 1)::INT AS revision, 'retract' AS operation FROM fr GROUP BY k HAVING arg_max(op, revision) = 'upsert'")
+@query(f"WITH {FRAMES} SELECT k AS business_key, (max(revision) + 1)::INT AS revision, 'retracted' AS operation FROM fr GROUP BY k HAVING arg_max(op, revision) = 'upsert'")
 def r05_switch_generation(spark, sf_dir):
     return A.switch_generation(A.current_view(frames(spark, sf_dir)), "failure-burst", "g1", "2024-02-01").select("business_key", "revision", "operation")
 
