@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import values as V
 from watchloom.plans.registry import EV, T, events, joined, query, r6
+from watchloom.streaming import arrivals as B
 from watchloom.streaming import findings as L
 
 #: Events arrive up to an hour late, in three rounds.
@@ -49,3 +50,37 @@ def f18_stream_windows(spark, sf_dir):
     x = L.written(spark, folder, "windows")
     last = x.groupBy("entity_id", "window_start").agg(F.max_by(F.struct("attempts", "failures"), "revision").alias("x"))
     return last.select("entity_id", V.text_time(F.col("window_start")).alias("window_start"), "x.attempts", "x.failures")
+
+
+#: Arrivals with events that come two and nine days late, again, or before their time; the state machine as a recursion over each entity's arrivals.
+STEPS = f"""{EV}, aa AS (SELECT entity_id, event_id, ts, CASE WHEN event_id % 40 = 0 THEN ts - INTERVAL 10 MINUTE WHEN event_id % 25 = 0 THEN ts + INTERVAL 9 DAY WHEN event_id % 10 = 0 THEN ts + INTERVAL 2 DAY ELSE ts END AS received FROM ev WHERE entity_id IS NOT NULL
+ UNION ALL SELECT entity_id, event_id, ts, ts + INTERVAL 1 HOUR FROM ev WHERE entity_id IS NOT NULL AND event_id % 6 = 0),
+an AS (SELECT *, epoch_us(received) AS arrival, date_trunc('day', ts) AS s, row_number() OVER (PARTITION BY entity_id ORDER BY received, event_id, ts) AS i FROM aa),
+rs AS (SELECT DISTINCT entity_id, 0::BIGINT AS i, NULL::TIMESTAMP AS mx, NULL::TIMESTAMP AS la, NULL::TIMESTAMP AS fl, []::STRUCT(s TIMESTAMP, ids BIGINT[])[] AS ws, NULL::BIGINT AS event_id, NULL::BIGINT AS arrival, '' AS told, NULL::VARCHAR AS why, []::BIGINT[] AS lost FROM an
+ UNION ALL SELECT entity_id, i, CASE WHEN ok THEN greatest(coalesce(mx, ts), ts) ELSE mx END, CASE WHEN ok THEN received ELSE la END, CASE WHEN told = 'future_rejected' THEN fl ELSE fl2 END,
+  CASE WHEN NOT ok THEN ws WHEN has THEN list_transform(ws, lambda w: CASE WHEN w.s = s THEN {{'s': w.s, 'ids': list_append(w.ids, event_id)}} ELSE w END) WHEN full_ THEN list_append(list_filter(ws, lambda w: w.s <> old), {{'s': s, 'ids': [event_id]}}) ELSE list_append(ws, {{'s': s, 'ids': [event_id]}}) END,
+  event_id, arrival, told, CASE WHEN told = 'late_rejected' THEN CASE WHEN wm >= s + INTERVAL 1 DAY THEN 'window_closed' ELSE 'beyond_retention' END END, CASE WHEN ok AND NOT has AND full_ THEN list_filter(ws, lambda w: w.s = old)[1].ids ELSE [] END
+ FROM (SELECT *, told IN ('added', 'late_accepted') AS ok FROM (SELECT *, CASE WHEN ts > received + INTERVAL 5 MINUTE THEN 'future_rejected' WHEN NOT has AND (wm >= s + INTERVAL 1 DAY OR full_ AND s <= old) THEN 'late_rejected'
+   WHEN has AND list_contains(list_filter(ws, lambda w: w.s = s)[1].ids, event_id) THEN 'duplicate' WHEN has AND len(list_filter(ws, lambda w: w.s = s)[1].ids) >= 3 THEN 'capacity_rejected' WHEN ts < wm THEN 'late_accepted' ELSE 'added' END AS told
+  FROM (SELECT *, greatest(coalesce(mx - INTERVAL 6 DAY, TIMESTAMP '1900-01-01'), coalesce(fl2, TIMESTAMP '1900-01-01')) AS wm, len(list_filter(ws, lambda w: w.s = s)) > 0 AS has, len(ws) >= 4 AS full_, list_min(list_transform(ws, lambda w: w.s)) AS old
+   FROM (SELECT an.*, rs.mx, rs.la, rs.fl, rs.ws, CASE WHEN rs.la IS NOT NULL AND an.received - rs.la >= INTERVAL 5 MINUTE THEN greatest(coalesce(rs.fl, TIMESTAMP '1900-01-01'), an.received - INTERVAL 6 DAY) ELSE rs.fl END AS fl2
+    FROM rs JOIN an ON an.entity_id = rs.entity_id AND an.i = rs.i + 1)))))"""
+_BOUNDS = B.Bounds(window=86_400, lateness=6 * 86_400, windows=4, contributions=3)
+
+
+def late_arrivals(spark, sf_dir):
+    x, i = events(spark, sf_dir).where("entity_id is not null"), F.col("event_id")
+    day = lambda n: F.col("ts") + F.expr(f"interval {n}")
+    one = x.withColumn("received_at", F.when(i % 40 == 0, day("-10 minutes")).when(i % 25 == 0, day("9 days")).when(i % 10 == 0, day("2 days")).otherwise(F.col("ts")))
+    both = one.unionByName(x.where(i % 6 == 0).withColumn("received_at", day("1 hour")))
+    return both.withColumn("arrival", F.unix_micros("received_at"))
+
+
+@query(f"WITH RECURSIVE {STEPS} SELECT entity_id, event_id, arrival, told AS disposition FROM rs WHERE i > 0")
+def f12_dispositions(spark, sf_dir):
+    return B.dispositions(late_arrivals(spark, sf_dir), _BOUNDS, block_rows=5_000)[0]
+
+
+@query(f"WITH RECURSIVE {STEPS} SELECT entity_id, event_id, arrival, why AS reason FROM rs WHERE why IS NOT NULL UNION ALL SELECT entity_id, unnest(lost), arrival, 'window_evicted' FROM rs WHERE len(lost) > 0")
+def f12_backfill(spark, sf_dir):
+    return B.dispositions(late_arrivals(spark, sf_dir), _BOUNDS, block_rows=5_000)[1].select("entity_id", "event_id", "arrival", "reason")
