@@ -8,6 +8,8 @@ from watchloom.functions import values as V
 from watchloom.plans.registry import EV, T, events, joined, query, r6
 from watchloom.streaming import arrivals as B
 from watchloom.streaming import findings as L
+from watchloom.streaming import ingestion as G
+from watchloom.streaming.windows import shared_folder
 
 #: Events arrive up to an hour late, in three rounds.
 ASOF = f"""{EV}, ar AS (SELECT *, ts + to_minutes((event_id % 7 * 10)::INT) AS arrival FROM ev),
@@ -84,3 +86,51 @@ def f12_dispositions(spark, sf_dir):
 @query(f"WITH RECURSIVE {STEPS} SELECT entity_id, event_id, arrival, why AS reason FROM rs WHERE why IS NOT NULL UNION ALL SELECT entity_id, unnest(lost), arrival, 'window_evicted' FROM rs WHERE len(lost) > 0")
 def f12_backfill(spark, sf_dir):
     return B.dispositions(late_arrivals(spark, sf_dir), _BOUNDS, block_rows=5_000)[1].select("entity_id", "event_id", "arrival", "reason")
+
+
+def log_folder(spark, sf_dir) -> str:
+    """Connection records of events as two folders of NDJSON files, the second with a part of the first again; faults by event_id."""
+    i = F.col("event_id")
+    x = events(spark, sf_dir)
+    rec = F.to_json(F.struct(F.when(i % 9 == 0, "yesterday").otherwise((1704067200 + i).cast("string")).alias("ts"), i.cast("string").alias("uid"), F.when(i % 11 != 0, F.concat(F.lit("10.0.0."), (i % 200).cast("string"))).alias("id.orig_h"), F.lit("10.1.0.1").alias("id.resp_h"), F.lit("TCP").alias("proto"), i.alias("orig_bytes"), F.lit(5).alias("resp_bytes")))
+    line = F.when(i % 13 == 0, F.concat(F.lit("{broken "), i.cast("string"))).when(i % 17 == 0, F.rpad(i.cast("string"), 400, "x")).otherwise(rec)
+    base = shared_folder(spark)
+    for part, own in (("a", x.where(i % 2 == 0)), ("b", x.where((i % 2 == 1) | (i % 4 == 0)))):
+        own.select(line.alias("value")).write.text(f"{base}/logs/{part}")
+    return base
+
+
+@query("""WITH x AS (SELECT event_id AS i, 1 AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 1 FROM events WHERE event_id % 2 = 1 OR event_id % 4 = 0)
+SELECT CASE WHEN i % 13 <> 0 AND i % 17 = 0 THEN 'LINE_TOO_LONG' END AS error_code, count(*) AS n, sum(CASE WHEN i % 13 = 0 THEN 8 + length(i::VARCHAR) WHEN i % 17 = 0 THEN 400 END)::BIGINT AS fault_bytes FROM x GROUP BY 1""")
+def s02_read_log_files(spark, sf_dir):
+    from watchloom.sources.ingest import read_log_files
+
+    x = read_log_files(spark, f"{log_folder(spark, sf_dir)}/logs/*", 300)
+    return x.groupBy("error_code").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("value").startswith('{"'), F.octet_length("value"))).cast("long").alias("fault_bytes"))
+
+
+def ingested(spark, sf_dir) -> str:
+    """Both folders through the stream, the second after a restart."""
+    base = log_folder(spark, sf_dir)
+    vendor = ("zeek", "p", "zeek.conn")
+    for part in ("a", "b"):
+        G.start(G.log_lines(spark, f"{base}/logs/{part}", 300), f"{base}/out", f"{base}/checkpoint-{part}", part, "tenant", vendor, available_now=True).awaitTermination()
+    return f"{base}/out"
+
+
+_CODES = "CASE WHEN i % 13 = 0 THEN 'DIP_JSON_INVALID' WHEN i % 17 = 0 THEN 'LINE_TOO_LONG' WHEN i % 9 = 0 THEN 'UIM_EVENT_TIME_INVALID' WHEN i % 11 = 0 THEN 'UIM_ZEEK_ENDPOINTS_REQUIRED' END"
+
+
+@query(f"""WITH x AS (SELECT event_id AS i, {_CODES.replace('i %', 'event_id %')} AS code FROM events)
+SELECT 'tcp' AS transport, 'unknown' AS outcome, '10.0.0.' || (i % 200) AS source_ip, i + 5 AS bytes, count(*) AS n FROM x WHERE code IS NULL GROUP BY ALL""")
+def s10_stream_events(spark, sf_dir):
+    x = G.events(spark, ingested(spark, sf_dir))
+    # a record that stands in files of both folders is one event
+    return x.groupBy("transport", "outcome", "source_ip", "bytes").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH x AS (SELECT event_id AS i, {_CODES.replace('i %', 'event_id %')} AS code FROM events)
+SELECT CASE WHEN code LIKE 'UIM_%' THEN 'UIM' ELSE 'DIP' END AS stage, code, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY ALL""")
+def s11_quarantine(spark, sf_dir):
+    x = G.quarantine(spark, ingested(spark, sf_dir))
+    return x.groupBy("stage", "code").agg(F.count(F.lit(1)).alias("n"))
