@@ -16,8 +16,8 @@ Turns are formatted before the shuffle; the only grouping is by conversation, wh
 formatted string is by nature one value.
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role,
-text), nulls first, so ties and repeated rows have one result and all stay; a null
-conv_id is a conversation of its own.  An empty table gives no rows.  Further
+text), nulls first, so ties and repeated rows have one result and all stay; rows with
+a null conv_id are one conversation.  An empty table gives no rows.  Further
 columns are not looked at.
 """
 
