@@ -120,10 +120,13 @@ def failure_then_success(df: DataFrame, n: int, lookback: str, size: str) -> Dat
     x = x.withColumn("window_start", F.window("ts", size).start)
     first = F.row_number().over(Window.partitionBy("entity_id", "window_start").orderBy("ts", "event_id"))
     found = x.withColumn("_n", first).where("_n = 1").select("entity_id", "window_start", F.col("ts").alias("at"), "event_id", "failures")
-    bad = df.where("outcome = 'failure'").select("entity_id", "ts", F.col("event_id").alias("bad_id"))
+    # a lookback touches two blocks of its own length, so a finding meets the failures of these and not all of its entity
+    block = lambda t: F.floor(t.cast("timestamp").cast("double") / _seconds(lookback)).cast("long")
+    found = found.withColumn("_block", F.explode(F.array(block(F.col("at")) - 1, block(F.col("at")))))
+    bad = df.where("outcome = 'failure'").select("entity_id", "ts", F.col("event_id").alias("bad_id"), block(F.col("ts")).alias("_block"))
     before = (F.col("ts") < F.col("at")) | ((F.col("ts") == F.col("at")) & (F.col("bad_id") < F.col("event_id")))
     within = at >= F.col("at").cast("timestamp").cast("double") - _seconds(lookback)
-    near = found.join(bad, "entity_id").where(before & within).groupBy("entity_id", "window_start", "at", "event_id", "failures").agg(F.array_sort(F.collect_list(F.struct("ts", "bad_id"))).alias("_bad"))
+    near = found.join(bad, ["entity_id", "_block"]).where(before & within).groupBy("entity_id", "window_start", "at", "event_id", "failures").agg(F.array_sort(F.collect_list(F.struct("ts", "bad_id"))).alias("_bad"))
     evidence = F.concat(F.transform("_bad", lambda f: f["bad_id"]), F.array("event_id"))
     return near.select("entity_id", "window_start", "at", "failures", evidence.alias("evidence"))
 
