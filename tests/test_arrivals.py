@@ -60,3 +60,20 @@ def test_hot_entity_in_many_blocks(spark):
     assert set(wanted.values()) == {"added", "late_accepted", "duplicate", "late_rejected", "future_rejected", "capacity_rejected"}
     assert {x[3] for x in left} == {"window_closed", "beyond_retention", "window_evicted"}
     assert B.dispositions(df.limit(0))[0].count() == 0
+
+
+def test_running_maximum_in_blocks(spark):
+    """Two levels of maxima give the plain running maximum, for a hot entity, null entities and ties of value."""
+    from pyspark.sql import functions as F
+
+    from watchloom.operators.analysis import with_running_max
+
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i * i, rng.choice([None, rng.randrange(50)])) for i in range(400)]
+    got = {r.arrival: r.top for r in with_running_max(spark.createDataFrame(rows, "entity long, arrival long, v int"), "top", F.col("v"), "arrival", "entity", block_rows=20).collect()}
+    best = {}
+    for entity, arrival, v in rows:
+        assert got[arrival] == best.get(entity)
+        if v is not None:
+            best[entity] = max(v, best.get(entity, v))
+    assert with_running_max(spark.createDataFrame([], "entity long, arrival long, v int"), "top", F.col("v"), "arrival", "entity").count() == 0

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from watchloom.operators.analysis import with_running_max
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset (one machine)."""
@@ -52,10 +54,10 @@ def dispositions(events: DataFrame, arrival: str, received: str, lateness: str =
     first = F.row_number().over(Window.partitionBy("event_id").orderBy(arrival))
     ahead = F.coalesce(F.col("ts") > F.col(received) + F.expr(f"interval {future}"), F.lit(False))
     x = events.withColumn("_n", first).withColumn("_ahead", ahead)
-    before = Window.partitionBy(by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(F.when((F.col("_n") == 1) & ~F.col("_ahead"), F.col("ts"))).over(before) - F.expr(f"interval {lateness}")
+    x = with_running_max(x, "_newest", F.when((F.col("_n") == 1) & ~F.col("_ahead"), F.col("ts")), arrival, by)
+    mark = F.col("_newest") - F.expr(f"interval {lateness}")
     told = F.when(F.col("_n") > 1, "duplicate").when(F.col("_ahead"), "future_rejected").when(F.col("ts") < mark, "late_accepted").otherwise("added")
-    return x.withColumn("disposition", told).drop("_n", "_ahead")
+    return x.withColumn("disposition", told).drop("_n", "_ahead", "_newest")
 
 
 def start(features: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
