@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from watchloom.llm.textops import pieces, saved
 
 #: Words a worker remembers the ids of (about 230 bytes each).
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Rows of the table of shifts that are sent to the tasks (about 24 bytes each).
 SENT_ROWS = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
