@@ -1,4 +1,7 @@
-"""Contract cases of standard events, event sinks and the golden vector of window features."""
+"""Contract cases of standard events, event sinks and the golden vector of window features.
+
+Fixed values: the cases' inputs and codes, and the golden vector, are those of the contract.
+"""
 
 import json
 

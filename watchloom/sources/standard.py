@@ -41,6 +41,7 @@ WINDOWS_EVENTS = [
     ("4776", "authentication", "authentication", "credential-validation", None, "authentication.credential-validation"),
 ]
 #: Ids whose account is the target of the event, and those that change a group's members.
+# Event ids whose target is the user, ids that change a group, domains of events; the codes of validate_events are such values, too.
 TARGET_IS_USER = ("4624", "4625", "4634", "4723", "4724", "4768", "4769", "4771", "4776")
 GROUP_CHANGES = ("4728", "4729", "4732", "4733", "4756", "4757")
 DOMAINS = ("authentication", "session", "iam", "directory", "network", "dns", "web", "tls")
