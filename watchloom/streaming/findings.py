@@ -5,8 +5,8 @@ its findings (revision, content, live score) and its windows.  A micro-batch's e
 of an entity are put into the state, and only the windows that they can change are
 judged again, by the two account rules: a burst of failures in a window, and a
 success after failures.  What changed becomes a frame at the next revision, with the
-change of the entity's live risk.  Event-time timers close windows and clear the state
-of entities that stay away.
+change of the entity's live risk.  An event-time timer, one for an entity, closes windows
+and clears the state of entities that stay away.
 
 One query has several outputs: each micro-batch writes frames, risk, closed windows
 and backfill to folders of its own batch number, so a batch that is run again after
@@ -25,6 +25,7 @@ once while it is kept, and later copies are late by then; ties are ordered by id
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -127,6 +128,40 @@ def content(at: int, failures: int, evidence: list[int]) -> str:
     return hashlib.sha256(f"{at}|{failures}|{','.join(map(str, evidence))}".encode()).hexdigest()
 
 
+@dataclass
+class Entity:
+    """An entity's state; it is read and written as one value, as each call to the state store costs more than the judging."""
+
+    kept: Kept
+    newest: int | None
+    #: the one timer that is registered, in milliseconds
+    timer: int | None
+    #: (rule, window start) -> (revision, operation, hash, score)
+    frames: dict[tuple[str, int], tuple[int, str, str, float]]
+    #: window start -> (revision, attempts, failures)
+    windows: dict[int, tuple[int, int, int]]
+
+    @staticmethod
+    def of(state: tuple[Any, ...] | None) -> Entity:
+        if state is None:
+            return Entity(Kept(*(np.empty(0, np.int64) for _ in range(3)), -(1 << 62)), None, None, {}, {})
+        kept = Kept(*(np.frombuffer(x, np.int64) for x in state[:3]), state[3])
+        frames, windows = json.loads(state[6])
+        return Entity(kept, state[4], state[5], {(rule, at): tuple(x) for rule, at, *x in frames}, {at: tuple(x) for at, *x in windows})
+
+    def value(self) -> tuple[Any, ...]:
+        k = self.kept
+        text = json.dumps([[[*at, *x] for at, x in self.frames.items()], [[at, *x] for at, x in self.windows.items()]])
+        return k.times.tobytes(), k.ids.tobytes(), k.outcomes.tobytes(), k.floor, self.newest, self.timer, text
+
+    def due(self, rules: Rules) -> int | None:
+        """When the entity has to be looked at next: a window closes, or all that is kept becomes useless."""
+        ends = [(start + rules.window * _SECOND) // 1000 for start, x in self.windows.items() if x[0] == 0]
+        if self.newest is not None and (len(self.kept.times) or self.frames or self.windows):
+            ends.append((self.newest + 2 * rules.kept * _SECOND) // 1000)
+        return min(ends, default=None)
+
+
 class AccountFindings(StatefulProcessor):
     """State and output of one entity; see the module's text."""
 
@@ -135,52 +170,58 @@ class AccountFindings(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getValueState("events", "times array<long>, ids array<long>, outcomes array<int>, floor long, newest long")
-        self.frames = handle.getMapState("frames", "rule string, start long", "revision int, operation string, hash string, score double")
-        self.windows = handle.getMapState("windows", "start long", "revision int, attempts long, failures long")
+        self.state = handle.getValueState("entity", "times binary, ids binary, outcomes binary, floor long, newest long, timer long, judged string")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rules, entity, out = self.rules, int(key[0]), []
-        state = self.events.get() if self.events.exists() else None
-        newest = state[4] if state else None
-        kept = Kept(*(np.array(x, np.int64) for x in state[:3]), state[3]) if state else Kept(*(np.empty(0, np.int64) for _ in range(3)), -(1 << 62))
-        oldest = -(1 << 62) if newest is None else newest - rules.lateness * _SECOND
-        top, new = newest, np.empty(0, np.int64)
+        rules, out = self.rules, []
+        e = Entity.of(self.state.get())
+        kept, oldest = e.kept, -(1 << 62) if e.newest is None else e.newest - rules.lateness * _SECOND
+        new = np.empty(0, np.int64)
         now = timerValues.getCurrentWatermarkInMs()
         for df in rows:
             times, ids, outcomes = (df[c].to_numpy(np.int64) for c in ("at", "event_id", "code"))
             late = times < oldest
-            out += [self.row("backfill", entity, at=t, event_id=i, reason="beyond_retention") for t, i in zip(times[late].tolist(), ids[late].tolist(), strict=True)]
+            out += [self.row("backfill", at=t, event_id=i, reason="beyond_retention") for t, i in zip(times[late].tolist(), ids[late].tolist(), strict=True)]
             if late.all():
                 continue
             new = np.r_[new, kept.put(times[~late], ids[~late], outcomes[~late])]
-            top = int(times[~late].max()) if top is None else max(top, int(times[~late].max()))
+            top = int(times[~late].max())
+            e.newest = top if e.newest is None else max(e.newest, top)
             if len(kept.times) > rules.most_events:
                 # what goes has been judged before
-                out += self.judge(entity, kept, new) + self.count(entity, kept, new, now)
+                out += self.judge(e, new) + self.count(e, new, now)
                 new = np.empty(0, np.int64)
                 ids, times = kept.drop(len(kept.times) - rules.most_events)
-                out += [self.row("backfill", entity, at=t, event_id=i, reason="evicted") for i, t in zip(ids.tolist(), times.tolist(), strict=True)]
-        out += self.judge(entity, kept, new) + self.count(entity, kept, new, now)
-        if top is not None:
-            kept.drop(int(np.searchsorted(kept.times, top - rules.kept * _SECOND)))
-            self.events.update((kept.times.tolist(), kept.ids.tolist(), kept.outcomes.tolist(), kept.floor, top))
-            self.handle.registerTimer((top + 2 * rules.kept * _SECOND) // 1000)
-            self.forget(top)
-        if out:
-            yield self.batch(out)
-
-    def judge(self, entity: int, kept: Kept, new: np.ndarray) -> list[dict[str, Any]]:
+                out += [self.row("backfill", at=t, event_id=i, reason="evicted") for i, t in zip(ids.tolist(), times.tolist(), strict=True)]
+        out += self.judge(e, new) + self.count(e, new, now)
+        if e.newest is not None:
+            kept.drop(int(np.searchsorted(kept.times, e.newest - rules.kept * _SECOND)))
+            self.forget(e)
+            self.put(e)
+        yield from self.batches(key, out)
+
+    def put(self, e: Entity, fired: int | None = None) -> None:
+        """Writes the state, with its one timer; a timer that has fired is taken away by Spark."""
+        due = e.due(self.rules)
+        if due != e.timer:
+            if e.timer is not None and e.timer != fired:
+                self.handle.deleteTimer(e.timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+            e.timer = due
+        self.state.update(e.value())
+
+    def judge(self, e: Entity, new: np.ndarray) -> list[dict[str, Any]]:
         out = []
         for start in touched(new, self.rules):
-            if start - self.rules.lookback * _SECOND < kept.floor:
+            if start - self.rules.lookback * _SECOND < e.kept.floor:
                 continue
-            found = {f[0]: f for f in judged(kept, start, self.rules)}
+            found = {f[0]: f for f in judged(e.kept, start, self.rules)}
             for rule in ("failure-burst", "failure-then-success"):
-                old = self.frames.getValue((rule, start)) if self.frames.containsKey((rule, start)) else None
+                old = e.frames.get((rule, start))
                 live = old[3] if old and old[1] == "upsert" else 0.0
                 if rule in found:
                     _, at, score, failures, evidence = found[rule]
@@ -193,66 +234,61 @@ class AccountFindings(StatefulProcessor):
                 else:
                     continue
                 revision = (old[0] if old else 0) + 1
-                self.frames.updateValue((rule, start), (revision, operation, digest, score))
-                out.append(self.row("frames", entity, rule_id=rule, window_start=start, at=at, revision=revision, operation=operation, score=score, amount=score - live, failures=failures, hash=digest, evidence=evidence))
+                e.frames[rule, start] = (revision, operation, digest, score)
+                out.append(self.row("frames", rule_id=rule, window_start=start, at=at, revision=revision, operation=operation, score=score, amount=score - live, failures=failures, hash=digest, evidence=evidence))
         return out
 
-    def count(self, entity: int, kept: Kept, new: np.ndarray, watermark: int) -> list[dict[str, Any]]:
+    def count(self, e: Entity, new: np.ndarray, watermark: int) -> list[dict[str, Any]]:
         """Counts of the new events' windows; a window that is closed already comes again at the next revision."""
-        out, size = [], self.rules.window * _SECOND
+        out, size, kept = [], self.rules.window * _SECOND, e.kept
         for start in sorted({int(w) * size for w in np.unique(new // size)}):
             if start < kept.floor:
                 continue
             a, b = np.searchsorted(kept.times, [start, start + size])
             attempts, failures = int(b - a), int((kept.outcomes[a:b] == FAILURE).sum())
-            old = self.windows.getValue((start,)) if self.windows.containsKey((start,)) else None
-            revision = old[0] if old else 0
+            revision = e.windows[start][0] if start in e.windows else 0
             if revision or (start + size) // 1000 <= watermark:
                 revision += 1
-                out.append(self.row("windows", entity, window_start=start, revision=revision, attempts=attempts, failures=failures))
-            else:
-                self.handle.registerTimer((start + size) // 1000)
-            self.windows.updateValue((start,), (revision, attempts, failures))
+                out.append(self.row("windows", window_start=start, revision=revision, attempts=attempts, failures=failures))
+            e.windows[start] = (revision, attempts, failures)
         return out
 
-    def forget(self, top: int) -> None:
+    def forget(self, e: Entity) -> None:
         """Frames and closed windows that no accepted event can change any more."""
-        last = top - self.rules.kept * _SECOND
-        for rule, start in [(k[0], k[1]) for k in self.frames.keys()]:  # noqa: SIM118
-            if start < last:
-                self.frames.removeKey((rule, start))
-        for (start,) in [(k[0],) for k, v in self.windows.iterator() if v[0] > 0]:
-            if start < last:
-                self.windows.removeKey((start,))
+        last = e.newest - self.rules.kept * _SECOND
+        e.frames = {at: x for at, x in e.frames.items() if at[1] >= last}
+        e.windows = {start: x for start, x in e.windows.items() if start >= last or x[0] == 0}
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        entity, now, out, size = int(key[0]), expiredTimerInfo.getExpiryTimeInMs(), [], self.rules.window * _SECOND
-        for start, (revision, attempts, failures) in sorted((k[0], tuple(v)) for k, v in self.windows.iterator()):
+        now, out, size = timerValues.getCurrentWatermarkInMs(), [], self.rules.window * _SECOND
+        e = Entity.of(self.state.get())
+        for start, (revision, attempts, failures) in sorted(e.windows.items()):
             if revision == 0 and (start + size) // 1000 <= now:
-                self.windows.updateValue((start,), (1, attempts, failures))
-                out.append(self.row("windows", entity, window_start=start, revision=1, attempts=attempts, failures=failures))
-        state = self.events.get() if self.events.exists() else None
-        if state and (state[4] + 2 * self.rules.kept * _SECOND) // 1000 <= now:
+                e.windows[start] = (1, attempts, failures)
+                out.append(self.row("windows", window_start=start, revision=1, attempts=attempts, failures=failures))
+        if e.newest is not None and (e.newest + 2 * self.rules.kept * _SECOND) // 1000 <= now:
             # nobody came for so long that each kept event is useless; the newest time stays for late arrivals
-            self.events.update(([], [], [], state[3], state[4]))
-            self.frames.clear()
-            self.windows.clear()
-        if out:
-            yield self.batch(out)
+            e = Entity(Kept(*(np.empty(0, np.int64) for _ in range(3)), e.kept.floor), e.newest, e.timer, {}, {})
+        self.put(e, expiredTimerInfo.getExpiryTimeInMs())
+        yield from self.batches(key, out)
 
     @staticmethod
-    def row(kind: str, entity: int, **values: Any) -> dict[str, Any]:
-        return {"kind": kind, "entity_id": entity} | values
+    def row(kind: str, **values: Any) -> dict[str, Any]:
+        return {"kind": kind} | values
 
     @staticmethod
-    def batch(rows: list[dict[str, Any]]) -> pd.DataFrame:
-        names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
-        df = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
-        for c in ("window_start", "at"):
-            df[c] = pd.to_datetime(df[c].astype("Int64"), unit="us", utc=True)
-        for c, kind in (("revision", "Int32"), ("attempts", "Int64"), ("failures", "Int64"), ("event_id", "Int64"), ("entity_id", "Int64"), ("score", "float64"), ("amount", "float64")):
-            df[c] = df[c].astype(kind)
-        return df
+    def batches(key: Any, rows: list[dict[str, Any]], most: int = 500) -> Iterator[pd.DataFrame]:
+        """Rows as text, many in a value: a frame of each entity's rows in all their columns costs more than the judging."""
+        for at in range(0, len(rows), most):
+            yield pd.DataFrame({"entity_id": [int(key[0])], "said": [json.dumps(rows[at : at + most])]})
+
+
+def told(said: DataFrame) -> DataFrame:
+    """Rows of OUT_SCHEMA from the processor's texts."""
+    kinds = [c.split(" ") for c in OUT_SCHEMA.split(", ")]
+    text = ", ".join(f"{c} {'long' if kind == 'timestamp' else kind}" for c, kind in kinds if c != "entity_id")
+    x = said.select("entity_id", F.explode(F.from_json("said", f"array<struct<{text.replace(' ', ': ').replace(',:', ',')}>>")).alias("x"))
+    return x.select(*("entity_id" if c == "entity_id" else (F.timestamp_micros(f"x.{c}") if kind == "timestamp" else F.col(f"x.{c}")).alias(c) for c, kind in kinds))
 
 
 def findings(events: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -266,7 +302,7 @@ def findings(events: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B
     x = events.where("event_id is not null and ts is not null and entity_id is not null").withWatermark(clock, f"{rules.lateness} seconds")
     code = F.when(F.col("outcome") == "failure", FAILURE).when(F.col("outcome") == "success", SUCCESS).otherwise(UNKNOWN)
     x = x.select(clock, F.col("entity_id").cast("long").alias("entity_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("long").alias("event_id"), code.alias("code"))
-    return x.groupBy("entity_id").transformWithStateInPandas(AccountFindings(rules), OUT_SCHEMA, "Append", "EventTime")
+    return told(x.groupBy("entity_id").transformWithStateInPandas(AccountFindings(rules), "entity_id long, said string", "Append", "EventTime"))
 
 
 def write_outputs(folder: str):
