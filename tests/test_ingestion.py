@@ -54,3 +54,19 @@ def test_crash_restart_and_two_writers(spark, monkeypatch):
     rows = spark.read.parquet(f"{base}/out/events/writer=a/batch=0")
     rows.write.partitionBy("domain", "day").parquet(f"{base}/out/events/writer=c/batch=0")
     assert seen()[0] == 30 and G.events(spark, f"{base}/out").where("raw_event_id is null or day is null").count() == 0
+
+
+def test_files_do_not_grow_as_tasks_times_days(spark):
+    """Each task wrote a file for each day: 24 days in 4 tasks were up to 96 files."""
+    import glob
+
+    base = shared_folder(spark)
+    spark.createDataFrame([(line(i * 3600),) for i in range(24 * 24)], "value string").repartition(4).write.text(f"{base}/d")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run(spark, base, "d")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = glob.glob(f"{base.removeprefix('file:')}/out/events/**/*.parquet", recursive=True)
+    assert len({f.split("day=")[1][:10] for f in files}) == 24 <= len(files) <= 24 + 4
+    assert G.events(spark, f"{base}/out", ["outcome"]).columns == ["event_id", "outcome"] and G.events(spark, f"{base}/out").count() == 24 * 24

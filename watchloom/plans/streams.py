@@ -124,7 +124,7 @@ _CODES = "CASE WHEN i % 13 = 0 THEN 'DIP_JSON_INVALID' WHEN i % 17 = 0 THEN 'LIN
 @query(f"""WITH x AS (SELECT event_id AS i, {_CODES.replace('i %', 'event_id %')} AS code FROM events)
 SELECT 'tcp' AS transport, 'unknown' AS outcome, '10.0.0.' || (i % 200) AS source_ip, i + 5 AS bytes, count(*) AS n FROM x WHERE code IS NULL GROUP BY ALL""")
 def s10_stream_events(spark, sf_dir):
-    x = G.events(spark, ingested(spark, sf_dir))
+    x = G.events(spark, ingested(spark, sf_dir), ["transport", "outcome", "source_ip", "bytes"])
     # a record that stands in files of both folders is one event
     return x.groupBy("transport", "outcome", "source_ip", "bytes").agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,5 +132,5 @@ def s10_stream_events(spark, sf_dir):
 @query(f"""WITH x AS (SELECT event_id AS i, {_CODES.replace('i %', 'event_id %')} AS code FROM events)
 SELECT CASE WHEN code LIKE 'UIM_%' THEN 'UIM' ELSE 'DIP' END AS stage, code, count(*) AS n FROM x WHERE code IS NOT NULL GROUP BY ALL""")
 def s11_quarantine(spark, sf_dir):
-    x = G.quarantine(spark, ingested(spark, sf_dir))
+    x = G.quarantine(spark, ingested(spark, sf_dir), ["stage", "code"])
     return x.groupBy("stage", "code").agg(F.count(F.lit(1)).alias("n"))

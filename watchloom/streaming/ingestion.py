@@ -81,11 +81,14 @@ def write_batch(folder: str, writer: str):
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}/writer={writer}/batch={number}") if by else df.write.mode("overwrite").parquet(f"{folder}/{name}/writer={writer}/batch={number}")
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, held = batch.sparkSession, batch.persist()
+        # what is written, and no more, is held
+        spark, held = batch.sparkSession, batch.select("event_id", "domain", "error_code", *EVENT_COLUMNS).persist()
         try:
             good = held.where(F.col("error_code").isNull()).withColumn("ts", F.col("event_time")).select("event_id", "domain", "ts", *EVENT_COLUMNS)
             told = I.new_events(good, others(spark, "events", _KEYS, number).select("event_id", "hash", "day")).persist()
-            put(told.where("outcome_ = 'created'").drop("outcome_", "ts"), "events", number, "domain", "day")
+            # dealt by day: else each task writes a file for each day, and files grow as the product of both
+            created = told.where("outcome_ = 'created'").drop("outcome_", "ts").repartitionByRange("domain", "day", "event_id")
+            put(created, "events", number, "domain", "day")
             put(told.groupBy(F.col("outcome_").alias("outcome")).agg(F.count(F.lit(1)).alias("n")), "outcomes", number)
             told.unpersist()
             bad = I.to_quarantine(held).dropDuplicates(["quarantine_id"])
@@ -104,14 +107,20 @@ def start(lines: DataFrame, folder: str, checkpoint: str, writer: str, organizat
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """(event_id, day, hash, domain, raw_event_id, outcome, ...): one row for each id."""
+def events(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    """(event_id, day, hash, domain, raw_event_id, outcome, ...), or event_id and those columns: one row for each id."""
     schema = "event_id string, hash string, raw_event_id string, event_time timestamp, event_type string, outcome string, source_ip string, destination_ip string, transport string, bytes long, duration long, domain string, day date, writer string, batch long"
-    return one_of_each(stored(spark, f"{folder}/events", schema), "event_id")
+    return one_of_each(asked(stored(spark, f"{folder}/events", schema), "event_id", columns), "event_id")
 
 
-def quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    return one_of_each(stored(spark, f"{folder}/quarantine", "quarantine_id string, raw_event_id string, stage string, code string, reason string, writer string, batch long"), "quarantine_id")
+def quarantine(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
+    schema = "quarantine_id string, raw_event_id string, stage string, code string, reason string, writer string, batch long"
+    return one_of_each(asked(stored(spark, f"{folder}/quarantine", schema), "quarantine_id", columns), "quarantine_id")
+
+
+def asked(rows: DataFrame, key: str, columns: list[str] | None) -> DataFrame:
+    """Spark can't see through the choice of a row which of its columns are asked for."""
+    return rows if columns is None else rows.select(key, *columns, "writer", "batch")
 
 
 def outcomes(spark: SparkSession, folder: str) -> DataFrame:
