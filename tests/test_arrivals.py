@@ -77,3 +77,18 @@ def test_running_maximum_in_blocks(spark):
         if v is not None:
             best[entity] = max(v, best.get(entity, v))
     assert with_running_max(spark.createDataFrame([], "entity long, arrival long, v int"), "top", F.col("v"), "arrival", "entity").count() == 0
+
+
+def test_entities_are_folded_as_a_stream():
+    """Rows of many entities in one call, an entity over two batches, a carried state first; before, a call took one entity."""
+    import pyarrow as pa
+
+    first, second = (micros(at(m)) for m in (0, 1))
+    carried = B.State()
+    carried.arrive(7, first, first, BOUNDS)
+    rows = [(1, None, None, None, None, carried.text()), (1, 7, second, second, 2, None), (1, 8, second, second, 3, None), (2, 7, first, first, 1, None)]
+    kinds = [pa.int64()] * 5 + [pa.string()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds, strict=True)], names=list("abcdef")) for part in (rows[:2], rows[2:])]
+    out = [tuple(r.values())[:5] for b in B.folded(BOUNDS)(iter(batches)) for r in b.to_pylist()]
+    assert [x for x in out if x[0] == "arrival"] == [("arrival", 1, 7, 2, "duplicate"), ("arrival", 1, 8, 3, "added"), ("arrival", 2, 7, 1, "added")]
+    assert [x[1] for x in out if x[0] == "state"] == [1, 2]

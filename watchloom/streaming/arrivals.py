@@ -22,10 +22,12 @@ ordered by event id and time.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,22 +97,34 @@ class State:
 
 
 def folded(bounds: Bounds):
-    """A cogrouped function: an entity's rows of one block, and its state before them -> OUT_SCHEMA."""
-    names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
-
-    def fold(key, rows, before):  # noqa: ANN001, ANN202
-        entity, out = int(key[0]), []
-        state = State.of(before["state"].iloc[0]) if len(before) else State()
-        rows = rows.sort_values(["arrival", "event_id", "at"])
-        for event, at, received, arrival in zip(*(rows[c].tolist() for c in ("event_id", "at", "received", "arrival")), strict=True):
-            told, lost = state.arrive(event, at, received, bounds)
-            out.append(("arrival", entity, event, arrival, told, None, None))
-            out += [("backfill", entity, e, arrival, why, start, None) for e, start, why in lost]
-        out.append(("state", entity, None, None, None, None, state.text()))
-        df = pd.DataFrame(out, columns=names)
-        for c in ("event_id", "arrival", "window_start"):
-            df[c] = df[c].astype("Int64")
-        return df
+    """A function over batches: rows by entity, each entity's state first, then its arrivals in order -> OUT_SCHEMA.
+
+    Entities follow one another in a stream: a call and two frames for each of them cost more than the fold.
+    """
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    schema = pa.schema([(c, kinds[kind]) for c, kind in (x.split() for x in OUT_SCHEMA.split(", "))])
+
+    def batch(out: list[tuple[Any, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
+        out: list[tuple[Any, ...]] = []
+        for entity, own in groupby(rows, lambda r: r[0]):
+            state = State()
+            for _, event, at, received, arrival, before in own:
+                if before is not None:
+                    state = State.of(before)
+                    continue
+                told, lost = state.arrive(event, at, received, bounds)
+                out.append(("arrival", entity, event, arrival, told, None, None))
+                out += [("backfill", entity, e, arrival, why, start, None) for e, start, why in lost]
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
+            out.append(("state", entity, None, None, None, None, state.text()))
+        if out:
+            yield batch(out)
 
     return fold
 
@@ -128,12 +142,15 @@ def dispositions(events: DataFrame, bounds: Bounds = Bounds(), block_rows: int =
     rows.select("entity_id", "block").distinct().withColumn("step", place).write.parquet(f"{base}/steps")
     steps = spark.read.parquet(f"{base}/steps")
     last = steps.agg(F.max("step")).first()[0] or 0
+    columns = ["entity_id", "event_id", "at", "received", "arrival"]
     state = spark.createDataFrame([], "entity_id long, state string")
     for step in range(1, last + 1):
         own = rows.join(steps.where(F.col("step") == step).select("entity_id", "block"), ["entity_id", "block"])
         # a state whose entity has no further block is no longer carried
         before = state.join(steps.where(F.col("step") == step).select("entity_id"), "entity_id", "left_semi")
-        own.groupBy("entity_id").cogroup(before.groupBy("entity_id")).applyInPandas(folded(bounds), OUT_SCHEMA).write.parquet(f"{base}/out/step={step}")
+        both = own.select(*columns, F.lit(None).cast("string").alias("state")).unionByName(before, allowMissingColumns=True)
+        dealt = both.repartition("entity_id").sortWithinPartitions("entity_id", F.col("state").isNull(), "arrival", "event_id", "at")
+        dealt.mapInArrow(folded(bounds), OUT_SCHEMA).write.parquet(f"{base}/out/step={step}")
         state = spark.read.schema(OUT_SCHEMA).parquet(f"{base}/out/step={step}").where("kind = 'state'").select("entity_id", "state")
     out = spark.read.schema(f"{OUT_SCHEMA}, step int").parquet(f"{base}/out") if last else spark.createDataFrame([], f"{OUT_SCHEMA}, step int")
     told = out.where("kind = 'arrival'").select("entity_id", "event_id", "arrival", F.col("value").alias("disposition"))
