@@ -89,3 +89,12 @@ def test_known_relations_and_replay(spark):
     got = {r.arrival: r.outcome for r in L.decide(asked, known).collect()}
     assert got == {1: "replayed", 2: "conflict_start", 3: "conflict_holder", 4: "inserted", 5: "unknown_type"}
     assert L.decide(asked.limit(0), known).count() == 0
+
+
+def test_roles_are_not_written_thrice(spark):
+    """Two distinct counts expanded each row of a role to three before the shuffle."""
+    asked = spark.createDataFrame([(1, "a", at(1)), (1, "b", at(1))], "role int, canonical string, at timestamp")
+    entities = spark.createDataFrame([("a", 7, True, at(0), None), ("b", 7, True, at(0), None)], "canonical string, entity_id long, strong boolean, valid_from timestamp, valid_to timestamp")
+    got = R.adjudicate(asked, entities, ["canonical"], ["role"], "at")
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().trail == ["resolved_by_strong_identifier", "strong_identifier_priority_over_weak", "multiple_identifiers_agree"]

@@ -81,7 +81,8 @@ def adjudicate(roles: DataFrame, entities: DataFrame, key: list[str], role_key:
     g = c.groupBy(*role_key).agg(
         F.array_sort(F.array_distinct(F.collect_list(hit["entity_id"]))).alias("candidates"), F.max(hit["strong"]).alias("any_strong"), F.min(hit["strong"]).alias("all_strong"),
         F.max_by(hit, hit["valid_from"]).alias("one"), F.max("known").alias("known"), F.max("identified").alias("identified"), F.max(F.col("identified") & F.col("valid")).alias("valid"), F.max("failure").alias("failure"),
-        F.countDistinct(F.when(F.col("valid") & F.col("identified"), F.struct(*key))).alias("identifiers"), F.countDistinct(F.when(hit.isNotNull(), F.struct(*key))).alias("agree"),
+        # sets of a role's few identifiers; two distinct counts would write each row three times
+        F.size(F.collect_set(F.when(F.col("valid") & F.col("identified"), F.struct(*key)))).alias("identifiers"), F.size(F.collect_set(F.when(hit.isNotNull(), F.struct(*key)))).alias("agree"),
     )
     n = F.size("candidates")
     reason = (
