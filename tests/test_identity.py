@@ -98,3 +98,14 @@ def test_roles_are_not_written_thrice(spark):
     got = R.adjudicate(asked, entities, ["canonical"], ["role"], "at")
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.first().trail == ["resolved_by_strong_identifier", "strong_identifier_priority_over_weak", "multiple_identifiers_agree"]
+
+
+def test_requests_to_close_are_dealt_by_their_number(spark):
+    """Tasks grow in number with the requests, not in size."""
+    from watchloom.operators import occurrences as O
+
+    rel = spark.createDataFrame([(i, at(0), None) for i in range(100)], "relation_id long, valid_from timestamp, valid_to timestamp")
+    asked = spark.createDataFrame([(i, n, at(5 * n)) for i in range(101) for n in range(2)], "relation_id long, n int, at timestamp")
+    got = O.close_relations(rel, asked, ["at", "n"], task_rows=10)
+    assert got.rdd.getNumPartitions() == 21
+    assert {(r.outcome, r["count"]) for r in got.groupBy("outcome").count().collect()} == {("invalid_end", 100), ("closed", 100), ("missing", 2)}

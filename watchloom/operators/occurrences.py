@@ -22,10 +22,14 @@ def transfer_weak(entities: DataFrame, requests: DataFrame, order: list[str]) ->
     return x.withColumn("outcome", outcome).drop("strong", "_open", "_from")
 
 
-def close_relations(relations: DataFrame, requests: DataFrame, order: list[str]) -> DataFrame:
-    """Outcome of each request(relation_id, at, ...): missing, unchanged (closed at that time), conflict, invalid_end or closed."""
+def close_relations(relations: DataFrame, requests: DataFrame, order: list[str], task_rows: int = 1_000_000) -> DataFrame:
+    """Outcome of each request(relation_id, at, ...): missing, unchanged (closed at that time), conflict, invalid_end or closed.
+
+    A task joins and orders some task_rows requests, in three sorts that are held at once, however many there are in all.
+    """
+    n = max(requests.sparkSession.sparkContext.defaultParallelism, -(-requests.count() // task_rows))
     r = relations.select("relation_id", F.lit(True).alias("_there"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
-    x = requests.join(r, "relation_id", "left")
+    x = requests.repartition(n, "relation_id").join(r.repartition(n, "relation_id"), "relation_id", "left")
     ok = F.col("_to").isNull() & (F.col("at") > F.col("_from"))
     before = Window.partitionBy("relation_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     end = F.coalesce("_to", F.first(F.when(ok, F.col("at")), ignorenulls=True).over(before))
