@@ -13,21 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from watchloom.llm import decontaminate, language, near_dedup, packing, pii
 from watchloom.llm.queries import tokenizer_path
-from watchloom.llm.textops import documents, shared_dir
+from watchloom.llm.textops import bounded_batches, documents, shared_dir
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told from their text; a null or letterless text goes."""
+    bounded_batches(spark)
     return language.known_language(docs, language.fit(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    bounded_batches(spark)
     return near_dedup.keep_one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item: 80 % of its five-word shingles."""
+    bounded_batches(spark)
     return decontaminate.without_leaks(docs, documents(spark, sf_dir, "benchmark"))
 
 
@@ -38,6 +41,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids, as pieces with their ids, sequence and offset."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path(), size=2048, end=0, with_ids=True)
 
 
