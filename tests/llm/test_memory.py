@@ -1,12 +1,15 @@
-"""What bounds the memory of the pipeline's tasks."""
+"""What bounds the memory of the pipeline's tasks and of its driver."""
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from watchloom.llm import textops
+from watchloom.llm import language, near_dedup, textops
 
 
 @pytest.mark.parametrize("stage", ["language", "near_dedup", "decontaminate", "packing"])
@@ -26,3 +29,40 @@ def test_batches_of_the_pipeline_are_bounded_by_bytes(spark, sf_dir, stage):
     finally:
         spark.conf.unset(key)
     assert most <= textops.BATCH_BYTES + 200_000 < 20_000_000
+
+
+def test_language_keeps_its_sample_packed_in_the_driver(spark):
+    r = random.Random(3)
+    letters = [chr(i) for i in range(0x100, 0x240) if chr(i).islower()]
+    texts = ["".join(r.choices(letters, k=20_000)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, "ab"[i % 2], t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(4)
+    grams = sum(len(language.term_counts(t)[0]) for t in texts)
+    tracemalloc.start()
+    try:
+        language.fit(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * grams, f"{most / grams:.1f} bytes for each n-gram of the sample"
+
+
+def test_language_unpacks_what_it_packed():
+    for text in ["a", "Ein kurzer Text.", "x" * 70_000, "".join(chr(i) for i in range(0x61, 0x3000))]:
+        at, n = language.term_counts(text)
+        got = language.unpacked_terms(language.packed_terms(at, n))
+        assert got[0].tolist() == at.tolist() and got[1].tolist() == n.tolist()
+
+
+def test_near_dedup_searches_confirms_and_links_in_queries_of_their_own(spark, sf_dir, monkeypatch):
+    plans, saved = [], near_dedup.saved
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return saved(df)
+
+    monkeypatch.setattr(near_dedup, "saved", noted)
+    near_dedup.near_duplicates(textops.documents(spark, sf_dir))
+    assert any("bit_count(" in p for p in plans) and any("array_intersect(" in p for p in plans)
+    assert not [p for p in plans if "bit_count(" in p and "array_intersect(" in p]
+    # the links are joined to their components once, not once for each direction
+    assert not [p for p in plans if "Union" in p]

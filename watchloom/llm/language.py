@@ -8,8 +8,8 @@ scaled to length one.  Document frequencies are counted over *all* learning rows
 and have a fixed number of buckets.  The weights are fitted by follow-the-
 regularised-leader (FTRL-proximal) with an elastic-net penalty on at most
 ``per_language`` rows of each language (a documented bound: rows whose id hash
-lies under a share computed from the language's count), whose feature vectors are
-made in the tasks.  A part of those rows is held back to fit the temperature of
+lies under a share computed from the language's count), whose n-grams are counted
+in the tasks and stay packed in the driver.  A part of those rows is held back to fit the temperature of
 the softmax; the score is the calibrated probability of the best language.
 
 Defined results: a text without a letter, and a null text, is ``und`` with score
@@ -22,6 +22,7 @@ not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,8 +96,34 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
     return df, {r["lang"]: r["n"] for r in sums if r["lang"] is not None}
 
 
-def sample_vectors(rows: DataFrame, idf: np.ndarray, shares: dict[str, float]) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
-    """(hash, language, buckets, values) of the bounded sample, in the order of the hash."""
+def packed_terms(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Buckets (in order) and counts in about a byte and a half each: steps between buckets, then counts, compressed."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + n.astype("<u4").tobytes(), 6)
+
+
+def unpacked_terms(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    k = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, "<u2", k), dtype=np.int64), np.frombuffer(raw, "<u4", k, 2 * k).astype(np.int64)
+
+
+class Sample:
+    """The bounded sample, in the order of its hash.  The driver holds it packed; a row's vector is made when it is asked for."""
+
+    def __init__(self, rows: list[tuple[int, str, bytes]], idf: np.ndarray):
+        self.rows, self.idf = sorted(rows), idf
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[str, np.ndarray, np.ndarray]:
+        """(language, buckets, values) of the row at place i."""
+        at, n = unpacked_terms(self.rows[i][2])
+        return self.rows[i][1], at, vector(at, n, self.idf).astype(np.float32).astype(np.float64)
+
+
+def sample_rows(rows: DataFrame, idf: np.ndarray, shares: dict[str, float]) -> Sample:
+    """The rows whose hash lies under their language's share, as packed n-grams."""
     pairs = [x for k, v in sorted(shares.items()) for x in (F.lit(k), F.lit(int(v * (1 << 30)) + 1))]
     h = F.pmod(F.xxhash64(F.lit("language"), "doc_id", F.length("text")), F.lit(1 << 30))
     chosen = rows.withColumn("h", h).where(F.col("h") < F.create_map(*pairs)[F.col("lang")]).select("h", "lang", "text")
@@ -107,13 +134,12 @@ def sample_vectors(rows: DataFrame, idf: np.ndarray, shares: dict[str, float]) -
                 out = []
                 for h_, lang, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if (got := term_counts(text)) is not None:
-                        out.append((h_, lang, got[0].astype(np.uint16).tobytes(), vector(*got, idf).astype(np.float32).tobytes()))
+                        out.append((h_, lang, packed_terms(*got)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["h", "lang", "at", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], names=["h", "lang", "terms"])
 
-    got = chosen.mapInArrow(run, "h long, lang string, at binary, x binary").collect()
-    rows_ = [(r[0], r[1], np.frombuffer(bytes(r[2]), np.uint16).astype(np.int64), np.frombuffer(bytes(r[3]), np.float32).astype(np.float64)) for r in got]
-    return sorted(rows_, key=lambda r: (r[0], r[1], r[2].tobytes()))
+    got = chosen.mapInArrow(run, "h long, lang string, terms binary").collect()
+    return Sample([(r[0], r[1], bytes(r[2])) for r in got], idf)
 
 
 class Ftrl:
@@ -185,17 +211,18 @@ def fit(rows: DataFrame, per_language: int = 1500, epochs: int = 2) -> Model:
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0), np.float32), 1.0)
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
-    sample = sample_vectors(rows, idf, {k: min(1.0, per_language / v) for k, v in counts.items()})
+    sample = sample_rows(rows, idf, {k: min(1.0, per_language / v) for k, v in counts.items()})
     place = {k: i for i, k in enumerate(languages)}
-    back = [r for i, r in enumerate(sample) if i % 5 == 4]
-    learn = [r for i, r in enumerate(sample) if i % 5 != 4] or sample
+    back = [i for i in range(len(sample)) if i % 5 == 4]
+    learn = [i for i in range(len(sample)) if i % 5 != 4]
     model = Ftrl(len(languages))
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(learn)):
-            _, lang, at, x = learn[i]
+            lang, at, x = sample[learn[i]]
             model.learn(at, x, place[lang])
     w = model.weights(slice(None))
-    t = temperature(np.array([x @ w[at] for _, _, at, x in back]), np.array([place[r[1]] for r in back])) if back else 1.0
+    held = [(x @ w[at], place[lang]) for lang, at, x in map(sample.__getitem__, back)]
+    t = temperature(np.array([v for v, _ in held]), np.array([y for _, y in held])) if held else 1.0
     return Model(languages, idf, w.astype(np.float32), max(t, 0.05))
 
 

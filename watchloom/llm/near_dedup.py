@@ -152,7 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round's labels are written to the checkpoint folder.
     """
-    e = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    e = saved(edges.where("a <> b").select(both.alias("e")).select("e.a", "e.b").distinct())
     label = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp"))
     label = saved(label)
     while True:
@@ -235,6 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
         odd = F.pmod(F.xxhash64("b"), F.lit(2)) == 1
         best = likely.groupBy("a").agg(F.max_by("b", F.when(odd, F.struct("s", "b"))).alias("b0"), F.max_by("b", F.when(~odd, F.struct("s", "b"))).alias("b1"))
         best = best.select("a", F.explode(F.array("b0", "b1")).alias("b")).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # (the driver plans, and submits the stages of, the search and the confirmation one after the other)
+        best = saved(best)
         links = saved(confirmed(best, sets, percent))
         if links.isEmpty():
             break
